@@ -1,28 +1,79 @@
-"""The corpus pipeline (placeholder stages are added with their operators)."""
+"""The corpus pipeline: language, toxicity, near copies, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+back for the next one; all but the last keep the columns of documents.  Stages that filter do so by
+id: if rows share an id, a rejected row takes the others with it; of near copies the document with
+the smallest id stays, and one row of it.  Rows with a null id are judged by no stage and stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gneiss.llm import packing
-from gneiss.llm.base import durable
+from gneiss.llm import jaccard, langid, packing, toxicity
+from gneiss.llm.base import durable, id_remainder
 from gneiss.llm.queries import tokenizer
 
 ORACLE_SQL = None
+#: Ids up to this number are sent to the readers of the documents; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: A language prediction less certain than this rejects the document.
+LEAST_CERTAIN = 0.4
+#: Toxicity scores from here on reject the document.
+TOXIC = 0.3
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among the rejected ones."""
+    ids = durable(rejected.select(F.col("doc_id").alias("rejected_id")).filter("rejected_id IS NOT NULL").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == ids["rejected_id"], "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: no letters, or no language certain enough."""
+    model = langid.fit(docs.filter(docs["lang"].isNotNull() & (id_remainder("doc_id", 5) != 0)))
+    told = langid.predict(docs, model)
+    return without(docs, told.filter((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_CERTAIN)))
+
+
+def toxic_neighbours(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose nearest labelled examples make them likely to be toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_remainder("doc_id", 4) != 2)
+    told = toxicity.score(docs, toxicity.fit(docs, labels))
+    return without(docs, told.filter(F.col("score") >= TOXIC))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    told = durable(jaccard.join(docs, words=5, threshold=0.8))
+    left = without(docs, told.filter(~F.col("kept")))
+    again = durable(told.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed training sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer("word_bpe_49k.json")).drop("ids"))
+    pieces = packing.pieces(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic_neighbours),
+    ("jaccard_join", jaccard_join),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
