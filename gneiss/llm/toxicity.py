@@ -103,7 +103,8 @@ def fit(
     label_id_column: str | None = None,
     examples: int = 8000,
     terms: int = 4096,
-    chi_square: float = 15.0,
+    chi_square: float = 25.0,
+    least_expected: float = 0.3,
 ) -> Index:
     """An index of at most `examples` labelled rows over at most `terms` terms."""
     spark = df.sparkSession
@@ -127,19 +128,22 @@ def fit(
     got = rows.select("doc_id", "toxic", "text").mapInArrow(bags, f"doc_id {kind}, toxic int, words binary, counts binary").toArrow().sort_by("doc_id")
     toxic = np.array(got.column("toxic").to_pylist(), dtype=np.int64)
     docs = [(np.frombuffer(w, np.uint64), np.frombuffer(c, np.int32)) for w, c in zip(got.column("words").to_pylist(), got.column("counts").to_pylist(), strict=True)]
-    n, n1 = len(toxic), int(toxic.sum())
+    n = len(toxic)
     rate = np.array([min(1.0, cap / max(1, have.get(v, 0))) for v in (0, 1)])
 
     # terms that depend on the label
-    every = np.concatenate([w for w, _ in docs]) if docs else np.zeros(0, np.uint64)
+    alone = list({(w.tobytes(), c.tobytes(), y): i for i, ((w, c), y) in enumerate(zip(docs, toxic.tolist(), strict=True))}.values())  # copies count once
+    every = np.concatenate([docs[i][0] for i in alone]) if alone else np.zeros(0, np.uint64)
     word, where = np.unique(every, return_inverse=True)
-    with_label = np.repeat(toxic, [len(w) for w, _ in docs]) if docs else np.zeros(0, np.int64)
+    with_label = np.repeat(toxic[alone], [len(docs[i][0]) for i in alone]) if alone else np.zeros(0, np.int64)
+    m, m1 = len(alone), int(toxic[alone].sum()) if alone else 0
     a = np.bincount(where, weights=with_label, minlength=len(word)) if len(word) else np.zeros(0)
     total = np.bincount(where, minlength=len(word)).astype(float) if len(word) else np.zeros(0)
     b = total - a
-    below = (a + b) * (n - a - b) * n1 * (n - n1)
-    chi = np.where(below > 0, n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / np.maximum(below, 1), 0)
-    kept = np.flatnonzero((chi >= chi_square) & (total >= 3))
+    below = (a + b) * (m - a - b) * m1 * (m - m1)
+    chi = np.where(below > 0, m * (a * (m - m1 - b) - b * (m1 - a)) ** 2 / np.maximum(below, 1), 0)
+    expected = total * min(m1, m - m1) / max(1, m)  # of the rarer label, were it independent
+    kept = np.flatnonzero((chi >= chi_square) & (expected >= least_expected))
     kept = kept[np.argsort(-chi[kept], kind="stable")[:terms]]
     chosen_terms = np.sort(word[kept])
 
