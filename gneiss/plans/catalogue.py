@@ -4,25 +4,155 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Q1 = """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
-       round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= timestamp '2001-08-05 00:00:00'
-GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus
-"""
+from gneiss import catalog
+from gneiss.functions import registry
+from gneiss.operators import aggregates, distribution, joins
+from gneiss.plans import relational, suites
+from gneiss.sources import numbers as sources
+from gneiss.streaming import windows
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def tpch_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(Q1.replace("FROM lineitem", f"FROM parquet.`{sf_dir}/lineitem.parquet`"))
 
+def _sql(text: str) -> Query:
+    return lambda spark, sf_dir: catalog.query(spark, sf_dir, text)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"tpch_q1": tpch_q1}
+
+_INNER = "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY'"
+
+
+def _inner(strategy: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        customer = catalog.table(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'").select("c_custkey")
+        orders = catalog.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+        return joins.join(orders, customer, orders["o_custkey"] == customer["c_custkey"], "inner", strategy).select("c_custkey", "o_orderkey", "o_totalprice")
+
+    return run
+
+
+def join_null_aware_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = catalog.table(spark, sf_dir, "orders").select("o_orderkey")
+    return joins.null_aware_anti(orders, catalog.table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey")
+
+
+def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = catalog.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey")
+    supplier = catalog.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    return joins.salted(lines, supplier, "k", 4).groupBy("s_nationkey").agg(F.count("*").alias("n"))
+
+
+def agg_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aggregates.two_level(catalog.table(spark, sf_dir, "lineitem"), ["l_returnflag"], {"n": ("count", "l_orderkey"), "q": ("sum", "l_quantity"), "lo": ("min", "l_shipdate"), "hi": ("max", "l_extendedprice"), "a": ("avg", "l_quantity")})
+    return out.select("l_returnflag", "n", F.round("q", 2).alias("q"), "lo", "hi", F.round("a", 6).alias("a"))
+
+
+def agg_reduction_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.table(spark, sf_dir, "events").repartition(8)
+    return aggregates.reduction_tree(rows, ["event_type"], {"n": ("count", "event_id"), "lo": ("min", "ts"), "hi": ("max", "value")}, [4, 2])
+
+
+def fn_date_bin_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.table(spark, sf_dir, "events").withColumn("bin", registry.date_bin(3600, F.col("ts")))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def udf_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def kind(value: pd.Series) -> pd.Series:
+        return value.str.slice(0, 1).str.upper()
+
+    return catalog.table(spark, sf_dir, "events").groupBy(kind("event_type").alias("k")).agg(F.count("*").alias("n"))
+
+
+def udtf_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources.register_udtfs(spark)
+    return spark.sql("SELECT number FROM numbers(3, 40)")
+
+
+def source_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.numbers(spark, 10, 1010, 100).groupBy((F.col("number") % 7).alias("m")).agg(F.count("*").alias("n"))
+
+
+def work_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.work_units(spark, "t", 2, ["rows(2) wait(1)", "rows(1)", "rows(3)"])
+
+
+def dist_repartition_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distribution.by_hash(catalog.table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), 6, "o_custkey")
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("hi"))
+
+
+def dist_range_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distribution.by_range(catalog.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 5, "o_orderdate")
+    spans = distribution.with_task(rows).groupBy("task").agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"), F.count("*").alias("n"))
+    a, b = spans.alias("a"), spans.alias("b")
+    overlapping = a.join(b, (F.col("a.task") < F.col("b.task")) & (F.col("a.hi") > F.col("b.lo"))).agg(F.count("*").alias("overlaps"))
+    return overlapping
+
+
+def dist_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distribution.coalesced(distribution.round_robin(catalog.table(spark, sf_dir, "nation"), 5), 1)
+    return distribution.with_task(rows).groupBy("task").agg(F.count("*").alias("n")).select(F.col("task").cast("long").alias("task"), "n")
+
+
+def dist_union_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    children = [catalog.table(spark, sf_dir, t).select(F.col(c).cast("long").alias("k")) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"))]
+    return distribution.isolated_union(children, 6, [3.0, 2.0, 1.0])
+
+
+def stream_tumbling_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.tumbling(catalog.table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"])
+    return out.select("bin", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stateful_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node with state between batches: rows and a running sum of each partition, added up."""
+
+    def run(batches):
+        rows, total = 0, 0
+        for batch in batches:
+            rows += len(batch)
+            total += int(batch["user_id"].sum())
+        yield pd.DataFrame({"rows": [rows], "total": [total]})
+
+    out = catalog.table(spark, sf_dir, "events").select("user_id").mapInPandas(run, "rows long, total long")
+    return out.agg(F.sum("rows").alias("n_rows"), F.sum("total").alias("total"))
+
+
+_FRAMES: dict[str, tuple[Query, str | None]] = {
+    "join_inner_hash": (_inner(None), _INNER),
+    "join_broadcast": (_inner("broadcast"), _INNER),
+    "join_merge": (_inner("merge"), _INNER),
+    "join_shuffle_hash": (_inner("shuffle_hash"), _INNER),
+    "join_null_aware_anti": (join_null_aware_anti, relational.SHARED["join_anti_not_in"]),
+    "join_salted": (join_salted, "SELECT s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey"),
+    "agg_two_level": (agg_two_level, "SELECT l_returnflag, count(l_orderkey) AS n, round(sum(l_quantity), 2) AS q, min(l_shipdate) AS lo, max(l_extendedprice) AS hi, round(avg(l_quantity), 6) AS a FROM lineitem GROUP BY l_returnflag"),
+    "agg_reduction_tree": (agg_reduction_tree, "SELECT event_type, count(event_id) AS n, min(ts) AS lo, max(value) AS hi FROM events GROUP BY event_type"),
+    "fn_date_bin_column": (fn_date_bin_column, "SELECT time_bucket(INTERVAL '1 hour', ts) AS bin, count(*) AS n FROM events GROUP BY 1"),
+    "udf_group_key": (udf_group_key, "SELECT upper(substring(event_type, 1, 1)) AS k, count(*) AS n FROM events GROUP BY 1"),
+    "udtf_numbers": (udtf_numbers, "SELECT range AS number FROM range(3, 40)"),
+    "source_numbers": (source_numbers, "SELECT range % 7 AS m, count(*) AS n FROM range(10, 1010) GROUP BY 1"),
+    "work_units": (work_units, "SELECT * FROM (VALUES ('t', 0::BIGINT, 0::BIGINT, 'a'), ('t', 0, 0, 'b'), ('t', 1, 0, 'a'), ('t', 0, 1, 'a'), ('t', 0, 1, 'b'), ('t', 0, 1, 'c')) v(tag, task, partition, letter)"),
+    "dist_repartition_hash": (dist_repartition_hash, "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS hi FROM orders GROUP BY o_custkey"),
+    "dist_range_partition": (dist_range_partition, "SELECT CAST(0 AS BIGINT) AS overlaps"),
+    "dist_coalesce": (dist_coalesce, "SELECT CAST(0 AS BIGINT) AS task, count(*) AS n FROM nation"),
+    "dist_union_tasks": (dist_union_tasks, "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT n_nationkey FROM nation"),
+    "stream_tumbling_batch": (stream_tumbling_batch, "SELECT date_trunc('hour', ts) AS bin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
+    "stateful_map": (stateful_map, "SELECT count(*) AS n_rows, CAST(sum(user_id) AS BIGINT) AS total FROM events"),
+}
+
+
+def queries() -> dict[str, Query]:
+    out = {name: _sql(text) for name, text in (relational.SHARED | suites.TPCH | suites.CLICKS | suites.STAR).items()}
+    out |= {name: _sql(text) for name, (text, _) in (relational.TWO | suites.CLICKS_TWO).items()}
+    return out | {name: run for name, (run, _) in _FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"tpch_q1": Q1}
+    out = relational.SHARED | suites.TPCH | suites.CLICKS | suites.STAR
+    out |= {name: text for name, (_, text) in (relational.TWO | suites.CLICKS_TWO).items()}
+    return out | {name: text for name, (_, text) in _FRAMES.items() if text}
