@@ -28,7 +28,7 @@ from gneiss.llm.base import pick
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 8_000_000  # of payload in one archive; one larger record makes an archive of its own
-DICTIONARY_BYTES = 32_768
+DICTIONARY_BYTES = 32_768  # at most; a small archive has a dictionary of a 32nd of its records' bytes
 TRAINING_BYTES = 1_500_000  # records that a dictionary is built from, spread over the archive
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # Fixed value: the URL namespace of RFC 4122
 
@@ -60,12 +60,13 @@ def build_dictionary(records: list[bytes]) -> bytes:
     total = sum(map(len, records))
     step = max(1, -(-total // TRAINING_BYTES))
     samples = records[::step]
-    if sum(map(len, samples)) >= 20 * DICTIONARY_BYTES // 4 and len(samples) >= 8:
+    size = min(DICTIONARY_BYTES, max(1024, total // 32))
+    if sum(map(len, samples)) >= 5 * size and len(samples) >= 8:
         try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8).as_bytes()
+            return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
         except zstandard.ZstdError:  # too uniform for the trainer
             pass
-    return b"".join(r[: DICTIONARY_BYTES // max(1, len(samples))] for r in samples)[:DICTIONARY_BYTES]
+    return b"".join(r[: size // max(1, len(samples))] for r in samples)[:size]
 
 
 def compress(records: list[bytes], level: int = 3) -> bytes:
