@@ -108,6 +108,18 @@ CLICKS: dict[str, str] = {
     "cb_7": "SELECT event_type, count(*) AS n FROM events WHERE value > 1 GROUP BY event_type ORDER BY n DESC, event_type",
     "cb_8": "SELECT event_type, count(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY u DESC, event_type LIMIT 10",
     "cb_9": "SELECT event_type, round(sum(value), 2) AS s, count(*) AS n, round(avg(value), 4) AS a, count(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10",
+    "cb_10": "SELECT event_type, count(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY event_type ORDER BY u DESC, event_type LIMIT 10",
+    "cb_11": "SELECT event_type, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY event_type, CAST(ts AS DATE) ORDER BY u DESC, event_type, day LIMIT 10",
+    "cb_13": "SELECT event_type, count(DISTINCT user_id) AS u FROM events WHERE event_type <> '' GROUP BY event_type ORDER BY u DESC, event_type LIMIT 10",
+    "cb_15": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
+    "cb_16": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 15",
+    "cb_17": "SELECT count(*) AS n FROM (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY user_id, event_type) t",
+    "cb_22": "SELECT event_type, min(props) AS p, min(user_id) AS u, count(*) AS n, count(DISTINCT user_id) AS d FROM events WHERE props LIKE '%2%' AND props NOT LIKE '%.9%' AND event_type <> '' GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10",
+    "cb_25": "SELECT event_type FROM events WHERE event_type <> '' ORDER BY event_type, event_id LIMIT 10",
+    "cb_31": "SELECT event_id, user_id, count(*) AS c, round(sum(value), 4) AS s, round(avg(value), 4) AS a FROM events WHERE event_type <> '' GROUP BY event_id, user_id ORDER BY c DESC, event_id, user_id LIMIT 10",
+    "cb_32": "SELECT event_id, user_id, count(*) AS c, round(sum(value), 4) AS s, round(avg(value), 4) AS a FROM events GROUP BY event_id, user_id ORDER BY c DESC, event_id, user_id LIMIT 10",
+    "cb_37": "SELECT props, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= '2024-01-05' AND CAST(ts AS DATE) <= '2024-01-25' AND value > 5 AND props <> '' GROUP BY props ORDER BY n DESC, props LIMIT 10",
+    "cb_41": "SELECT CAST(extract(hour FROM ts) AS BIGINT) AS w, CAST(extract(day FROM ts) AS BIGINT) AS h, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= '2024-01-02' AND value < 80 GROUP BY 1, 2 ORDER BY n DESC, w, h LIMIT 10 OFFSET 20",
     "cb_12": "SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
     "cb_14": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 10",
     "cb_18": "SELECT user_id, CAST(extract(minute FROM ts) AS BIGINT) AS m, event_type, count(*) AS n FROM events GROUP BY user_id, m, event_type ORDER BY n DESC, user_id, m, event_type LIMIT 10",
@@ -202,6 +214,87 @@ WHERE rk <= 5 ORDER BY p_type NULLS FIRST, p_brand NULLS FIRST, d_year NULLS FIR
 SELECT round(sum(c_acctbal), 2) AS total, r_name, n_name, CAST(grouping(r_name) + grouping(n_name) AS BIGINT) AS lochierarchy,
 CAST(rank() OVER (PARTITION BY grouping(r_name) + grouping(n_name), CASE WHEN grouping(n_name) = 0 THEN r_name END ORDER BY sum(c_acctbal) DESC) AS BIGINT) AS rk
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN (SELECT r_name FROM region WHERE r_regionkey < 4) GROUP BY ROLLUP(r_name, n_name)""",
+    "ds_q3": f"""
+SELECT d_year, p_brand, round(sum(l_extendedprice), 2) AS sum_agg FROM {_SALES} x, part WHERE l_partkey = p_partkey AND p_size = 28 AND d_moy = 11 GROUP BY d_year, p_brand ORDER BY d_year, sum_agg DESC, p_brand LIMIT 100""",
+    "ds_q4": f"""
+WITH yt AS (SELECT o_custkey AS k, d_year, sum(l_extendedprice) AS total, 's' AS kind FROM {_SALES} x GROUP BY o_custkey, d_year UNION ALL SELECT o_custkey, d_year, sum(l_extendedprice * (1 - l_discount)), 'c' FROM {_SALES} x GROUP BY o_custkey, d_year)
+SELECT a.k FROM yt a, yt b, yt c, yt d WHERE a.k = b.k AND a.k = c.k AND a.k = d.k AND a.kind = 's' AND b.kind = 's' AND c.kind = 'c' AND d.kind = 'c' AND a.d_year = 1997 AND b.d_year = 1998 AND c.d_year = 1997 AND d.d_year = 1998
+AND a.total > 0 AND c.total > 0 AND CASE WHEN c.total > 0 THEN d.total / c.total ELSE NULL END > CASE WHEN a.total > 0 THEN b.total / a.total ELSE NULL END ORDER BY a.k NULLS FIRST LIMIT 100""",
+    "ds_q6": f"""
+SELECT n_name, count(*) AS cnt FROM customer, nation, {_SALES} s, part i WHERE c_nationkey = n_nationkey AND c_custkey = o_custkey AND l_partkey = p_partkey AND d_year = (SELECT DISTINCT CAST(extract(year FROM o_orderdate) AS BIGINT) FROM orders WHERE o_orderdate >= date '1998-01-01' AND o_orderdate < date '1998-02-01')
+AND i.p_retailprice > 1.02 * (SELECT avg(j.p_retailprice) FROM part j WHERE j.p_brand = i.p_brand) GROUP BY n_name HAVING count(*) >= 10 ORDER BY cnt NULLS FIRST, n_name LIMIT 100""",
+    "ds_q7": f"""
+SELECT p_brand, round(avg(l_quantity), 4) AS agg1, round(avg(l_extendedprice), 4) AS agg2, round(avg(l_discount), 4) AS agg3 FROM {_SALES} x, customer, part WHERE o_custkey = c_custkey AND l_partkey = p_partkey AND c_mktsegment = 'BUILDING' AND d_year = 1999 GROUP BY p_brand ORDER BY p_brand LIMIT 100""",
+    "ds_q8": f"""
+SELECT n_name, round(sum(l_extendedprice), 2) AS total FROM {_SALES} x, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND d_year = 1998 AND substring(s_name, 10, 2) IN (SELECT z FROM (SELECT substring(s_name, 10, 2) AS z FROM supplier WHERE s_suppkey < 60 INTERSECT SELECT z FROM (SELECT substring(s_name, 10, 2) AS z, count(*) AS cnt FROM supplier GROUP BY substring(s_name, 10, 2) HAVING count(*) > 1) a1) a2) GROUP BY n_name ORDER BY n_name LIMIT 100""",
+    "ds_q13": f"""
+SELECT round(avg(l_quantity), 4) AS a, round(avg(l_extendedprice), 4) AS b, round(sum(l_discount), 4) AS c FROM {_SALES} x, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND d_year = 1998
+AND ((c_mktsegment = 'BUILDING' AND l_quantity BETWEEN 10 AND 20) OR (c_mktsegment = 'MACHINERY' AND l_quantity BETWEEN 30 AND 40)) AND ((n_regionkey IN (0, 1) AND l_extendedprice BETWEEN 100 AND 60000) OR (n_regionkey IN (2, 3) AND l_extendedprice BETWEEN 50 AND 50000))""",
+    "ds_q16": f"""
+SELECT count(DISTINCT l_orderkey) AS order_count, round(sum(l_extendedprice), 2) AS total FROM lineitem a WHERE l_shipdate >= date '1998-02-01' AND l_shipdate < date '1998-04-01' AND EXISTS (SELECT 1 FROM lineitem b WHERE a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem c WHERE a.l_orderkey = c.l_orderkey AND c.l_returnflag = 'R')""",
+    "ds_q21": f"""
+SELECT l_suppkey, bef, aft FROM (SELECT l_suppkey, round(sum(CASE WHEN o_orderdate < date '1998-03-11' THEN l_quantity ELSE 0 END), 2) AS bef, round(sum(CASE WHEN o_orderdate >= date '1998-03-11' THEN l_quantity ELSE 0 END), 2) AS aft FROM {_SALES} x WHERE o_orderdate BETWEEN date '1998-02-10' AND date '1998-04-10' GROUP BY l_suppkey) t
+WHERE CASE WHEN bef > 0 THEN aft / bef ELSE NULL END BETWEEN 2.0 / 3.0 AND 3.0 / 2.0 ORDER BY l_suppkey NULLS FIRST LIMIT 100""",
+    "ds_q22": f"""
+SELECT p_brand, p_type, round(avg(l_quantity), 4) AS qoh FROM {_SALES} x, part WHERE l_partkey = p_partkey AND d_year = 1999 GROUP BY ROLLUP(p_brand, p_type) ORDER BY qoh NULLS FIRST, p_brand NULLS FIRST, p_type NULLS FIRST LIMIT 100""",
+    "ds_q23": f"""
+WITH frequent AS (SELECT l_partkey AS k, count(*) AS cnt FROM {_SALES} x GROUP BY l_partkey HAVING count(*) > 34), best AS (SELECT o_custkey AS c, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 0.5 * (SELECT max(t) FROM (SELECT sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) m))
+SELECT round(sum(sales), 2) AS total FROM (SELECT l_quantity * l_extendedprice AS sales FROM {_SALES} x WHERE l_partkey IN (SELECT k FROM frequent) AND o_custkey IN (SELECT c FROM best) UNION ALL SELECT o_totalprice FROM orders WHERE o_custkey IN (SELECT c FROM best)) t""",
+    "ds_q28": """
+SELECT b1.lp AS lp1, b1.cnt AS cnt1, b1.cntd AS cntd1, b2.lp AS lp2, b2.cnt AS cnt2, b2.cntd AS cntd2 FROM (SELECT round(avg(l_extendedprice), 4) AS lp, count(l_extendedprice) AS cnt, count(DISTINCT l_extendedprice) AS cntd FROM lineitem WHERE l_quantity BETWEEN 0 AND 5 AND (l_discount BETWEEN 0.08 AND 0.09 OR l_tax BETWEEN 0.01 AND 0.02)) b1,
+(SELECT round(avg(l_extendedprice), 4) AS lp, count(l_extendedprice) AS cnt, count(DISTINCT l_extendedprice) AS cntd FROM lineitem WHERE l_quantity BETWEEN 6 AND 10 AND l_discount < 0.05) b2""",
+    "ds_q31": f"""
+WITH ss AS (SELECT p_brand, d_year, d_moy, sum(l_extendedprice) AS v FROM {_SALES} x, part WHERE l_partkey = p_partkey GROUP BY p_brand, d_year, d_moy)
+SELECT a.p_brand, round(b.v / a.v, 6) AS r1, round(c.v / b.v, 6) AS r2 FROM ss a, ss b, ss c WHERE a.p_brand = b.p_brand AND b.p_brand = c.p_brand AND a.d_year = 1998 AND b.d_year = 1998 AND c.d_year = 1998 AND a.d_moy = 1 AND b.d_moy = 2 AND c.d_moy = 3 AND CASE WHEN a.v > 0 THEN b.v / a.v ELSE NULL END < CASE WHEN b.v > 0 THEN c.v / b.v ELSE NULL END ORDER BY a.p_brand""",
+    "ds_q33": """
+WITH a AS (SELECT p_brand, sum(l_extendedprice) AS t FROM lineitem, part WHERE l_partkey = p_partkey AND p_brand IN (SELECT p_brand FROM part WHERE p_type = 'PROMO') AND l_returnflag = 'A' GROUP BY p_brand), b AS (SELECT p_brand, sum(l_extendedprice) AS t FROM lineitem, part WHERE l_partkey = p_partkey AND l_returnflag = 'R' GROUP BY p_brand)
+SELECT p_brand, round(sum(t), 2) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x GROUP BY p_brand ORDER BY total, p_brand LIMIT 100""",
+    "ds_q34": """
+SELECT c_name, cnt FROM (SELECT o_custkey, count(*) AS cnt FROM orders WHERE CAST(extract(day FROM o_orderdate) AS BIGINT) BETWEEN 1 AND 3 AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_custkey) dn, customer WHERE o_custkey = c_custkey AND cnt BETWEEN 2 AND 20 ORDER BY c_name NULLS FIRST""",
+    "ds_q40": f"""
+SELECT p_brand, round(sum(CASE WHEN o_orderdate < date '1998-03-11' THEN l_extendedprice - coalesce(v, 0) ELSE 0 END), 2) AS bef, round(sum(CASE WHEN o_orderdate >= date '1998-03-11' THEN l_extendedprice - coalesce(v, 0) ELSE 0 END), 2) AS aft
+FROM {_SALES} x LEFT OUTER JOIN (SELECT l_orderkey AS ok, l_suppkey AS sk, max(l_tax) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_suppkey) r ON l_orderkey = ok AND l_suppkey = sk, part WHERE l_partkey = p_partkey AND d_year = 1998 GROUP BY p_brand ORDER BY p_brand LIMIT 100""",
+    "ds_q41": "SELECT DISTINCT p_brand FROM part i1 WHERE p_size BETWEEN 1 AND 30 AND (SELECT count(*) FROM part WHERE p_brand = i1.p_brand AND ((p_type = 'PROMO' AND p_size IN (1, 2, 3)) OR (p_type = 'ECONOMY' AND p_size IN (4, 5)))) > 2 ORDER BY p_brand LIMIT 100",
+    "ds_q43": f"""
+SELECT s_name, round(sum(CASE WHEN d_moy = 1 THEN l_extendedprice ELSE NULL END), 2) AS m1, round(sum(CASE WHEN d_moy = 2 THEN l_extendedprice ELSE NULL END), 2) AS m2, round(sum(CASE WHEN d_moy = 3 THEN l_extendedprice ELSE NULL END), 2) AS m3 FROM {_SALES} x, supplier WHERE l_suppkey = s_suppkey AND d_year = 1998 GROUP BY s_name ORDER BY s_name LIMIT 100""",
+    "ds_q49": f"""
+SELECT channel, k, rr, r FROM (SELECT 's' AS channel, k, rr, CAST(rank() OVER (ORDER BY rr, k) AS BIGINT) AS r FROM (SELECT l_suppkey AS k, round(CAST(CAST(sum(coalesce(l_quantity, 0)) AS DECIMAL(15, 4)) AS DOUBLE) / count(*), 6) AS rr FROM {_SALES} x WHERE d_year = 1998 AND d_moy = 12 GROUP BY l_suppkey) a) t WHERE r <= 10
+UNION SELECT channel, k, rr, r FROM (SELECT 'p' AS channel, k, rr, CAST(rank() OVER (ORDER BY rr, k) AS BIGINT) AS r FROM (SELECT l_partkey AS k, round(CAST(CAST(sum(coalesce(l_quantity, 0)) AS DECIMAL(15, 4)) AS DOUBLE) / count(*), 6) AS rr FROM {_SALES} x WHERE d_year = 1998 AND d_moy = 12 GROUP BY l_partkey) a) t WHERE r <= 10 ORDER BY 1 NULLS FIRST, 4 NULLS FIRST, 2 LIMIT 100""",
+    "ds_q50": """
+SELECT l_suppkey, CAST(sum(CASE WHEN datediff_days <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS d30, CAST(sum(CASE WHEN datediff_days > 30 AND datediff_days <= 60 THEN 1 ELSE 0 END) AS BIGINT) AS d60, CAST(sum(CASE WHEN datediff_days > 60 THEN 1 ELSE 0 END) AS BIGINT) AS more
+FROM (SELECT l_suppkey, CASE WHEN l_shipdate <= o_orderdate + interval '30' day THEN 30 WHEN l_shipdate <= o_orderdate + interval '60' day THEN 60 ELSE 90 END AS datediff_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate) t GROUP BY l_suppkey ORDER BY l_suppkey LIMIT 100""",
+    "ds_q53": f"""
+SELECT p_brand, sum_sales, avg_q FROM (SELECT p_brand, round(sum(l_extendedprice), 2) AS sum_sales, round(avg(sum(l_extendedprice)) OVER (PARTITION BY p_brand), 0) AS avg_q FROM {_SALES} x, part WHERE l_partkey = p_partkey AND p_type IN ('PROMO', 'ECONOMY') AND d_year = 1998 GROUP BY p_brand, d_moy) t WHERE CASE WHEN avg_q > 0 THEN abs(sum_sales - avg_q) / avg_q ELSE NULL END > 0.1 ORDER BY avg_q, sum_sales, p_brand LIMIT 100""",
+    "ds_q54": f"""
+WITH mc AS (SELECT DISTINCT o_custkey AS k FROM {_SALES} x, part WHERE l_partkey = p_partkey AND p_type = 'PROMO' AND d_year = 1998 AND d_moy = 12), rev AS (SELECT k, sum(l_extendedprice) AS revenue FROM mc, {_SALES} x WHERE k = o_custkey AND o_orderdate BETWEEN (SELECT min(o_orderdate) FROM orders WHERE o_orderdate >= date '1999-01-01') AND date '1999-03-31' GROUP BY k)
+SELECT segment, count(*) AS n, segment * 5000 AS base FROM (SELECT CAST(round(revenue / 5000) AS INTEGER) AS segment FROM rev) t GROUP BY segment ORDER BY segment NULLS FIRST, n LIMIT 100""",
+    "ds_q58": f"""
+WITH a AS (SELECT l_partkey AS k, sum(l_extendedprice) AS v FROM {_SALES} x WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderdate >= date '1998-01-01' AND o_orderdate < date '1998-07-01') GROUP BY l_partkey), b AS (SELECT l_partkey AS k, sum(l_extendedprice) AS v FROM {_SALES} x WHERE d_year = 1999 GROUP BY l_partkey)
+SELECT a.k, round(a.v, 2) AS av, round(b.v, 2) AS bv, round((a.v + b.v) / 2, 0) AS average FROM a, b WHERE a.k = b.k AND a.v BETWEEN 0.9 * b.v AND 1.1 * b.v ORDER BY a.k NULLS FIRST LIMIT 100""",
+    "ds_q61": """
+SELECT round(p.v, 2) AS promotions, round(t.v, 2) AS total, round(CAST(CAST(p.v AS DECIMAL(15, 4)) AS DOUBLE) / CAST(CAST(t.v AS DECIMAL(15, 4)) AS DOUBLE) * 100, 6) AS share FROM (SELECT sum(l_extendedprice) AS v FROM lineitem, part WHERE l_partkey = p_partkey AND p_type = 'PROMO') p, (SELECT sum(l_extendedprice) AS v FROM lineitem, part WHERE l_partkey = p_partkey) t""",
+    "ds_q65": f"""
+SELECT s_name, sc.p, round(sc.revenue, 2) AS revenue FROM supplier, (SELECT s, avg(revenue) AS ave FROM (SELECT l_suppkey AS s, l_partkey AS p, sum(l_extendedprice) AS revenue FROM {_SALES} x GROUP BY l_suppkey, l_partkey) sa GROUP BY s) sb, (SELECT l_suppkey AS s, l_partkey AS p, sum(l_extendedprice) AS revenue FROM {_SALES} x GROUP BY l_suppkey, l_partkey) sc WHERE sb.s = sc.s AND sc.revenue <= 0.1 * sb.ave AND s_suppkey = sc.s ORDER BY s_name NULLS FIRST, sc.p LIMIT 100""",
+    "ds_q68": f"""
+SELECT c_name, n_name, amt, profit FROM (SELECT l_orderkey, o_custkey, round(sum(l_extendedprice), 2) AS amt, round(sum(l_discount), 4) AS profit FROM {_SALES} x WHERE CAST(extract(day FROM o_orderdate) AS BIGINT) BETWEEN 1 AND 2 AND d_year IN (1998, 1999) GROUP BY l_orderkey, o_custkey) dn, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey ORDER BY c_name NULLS FIRST, amt, profit LIMIT 100""",
+    "ds_q69": f"""
+SELECT c_mktsegment, count(*) AS cnt FROM customer c WHERE EXISTS (SELECT 1 FROM {_SALES} x WHERE c.c_custkey = o_custkey AND d_year = 1998 AND d_moy BETWEEN 4 AND 6) AND NOT EXISTS (SELECT 1 FROM {_SALES} x WHERE c.c_custkey = o_custkey AND d_year = 1999 AND d_moy BETWEEN 4 AND 6) AND NOT EXISTS (SELECT 1 FROM {_SALES} x WHERE c.c_custkey = o_custkey AND d_year = 2000 AND d_moy = 1) GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 100""",
+    "ds_q74": f"""
+WITH yt AS (SELECT o_custkey AS k, d_year, stddev_samp(l_extendedprice) AS total, 's' AS kind FROM {_SALES} x WHERE d_year IN (1997, 1998) GROUP BY o_custkey, d_year UNION ALL SELECT o_custkey, d_year, sum(l_quantity), 'w' FROM {_SALES} x WHERE d_year IN (1997, 1998) GROUP BY o_custkey, d_year)
+SELECT a.k FROM yt a, yt b, yt c, yt d WHERE a.k = b.k AND a.k = c.k AND a.k = d.k AND a.kind = 's' AND b.kind = 's' AND c.kind = 'w' AND d.kind = 'w' AND a.d_year = 1997 AND b.d_year = 1998 AND c.d_year = 1997 AND d.d_year = 1998 AND a.total > 0 AND c.total > 0 AND d.total / c.total > b.total / a.total ORDER BY a.k NULLS FIRST LIMIT 100""",
+    "ds_q77": """
+WITH s AS (SELECT l_suppkey AS k, sum(l_extendedprice) AS sales FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_suppkey), r AS (SELECT l_suppkey AS k, sum(l_extendedprice) AS ret FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 50 GROUP BY l_suppkey)
+SELECT channel, id, round(sum(sales), 2) AS sales, round(sum(returns), 2) AS returns FROM (SELECT 'supplier' AS channel, s.k AS id, sales, coalesce(ret, 0) AS returns FROM s LEFT JOIN r ON s.k = r.k UNION ALL SELECT 'customer', o_custkey, o_totalprice, 0 FROM orders) x GROUP BY ROLLUP(channel, id) ORDER BY channel NULLS FIRST, id NULLS FIRST, sales LIMIT 100""",
+    "ds_q78": f"""
+WITH ws AS (SELECT d_year AS y, l_partkey AS p, o_custkey AS c, sum(l_quantity) AS q FROM {_SALES} x LEFT JOIN (SELECT DISTINCT l_orderkey AS ok FROM lineitem WHERE l_returnflag = 'R') r ON ok = l_orderkey WHERE ok IS NULL GROUP BY d_year, l_partkey, o_custkey), ss AS (SELECT d_year AS y, l_suppkey AS s, o_custkey AS c, sum(l_quantity) AS q FROM {_SALES} x GROUP BY d_year, l_suppkey, o_custkey)
+SELECT ss.s, round(ss.q / (coalesce(ws.q, 0) + 1), 2) AS ratio, round(ss.q, 2) AS qty FROM ss LEFT JOIN ws ON ws.y = ss.y AND ws.c = ss.c AND ws.p = ss.s WHERE coalesce(ws.q, 0) > 0 AND ss.y = 1998 ORDER BY ss.s, ratio, qty LIMIT 100""",
+    "ds_q88": """
+SELECT a.n AS h8, b.n AS h9, c.n AS h10 FROM (SELECT count(*) AS n FROM events WHERE extract(hour FROM ts) = 8 AND extract(minute FROM ts) >= 30) a, (SELECT count(*) AS n FROM events WHERE extract(hour FROM ts) = 9 AND extract(minute FROM ts) < 30) b, (SELECT count(*) AS n FROM events WHERE extract(hour FROM ts) = 10) c""",
+    "ds_q90": "SELECT round(CAST(CAST(a.n AS DECIMAL(15, 4)) AS DOUBLE) / CAST(CAST(p.n AS DECIMAL(15, 4)) AS DOUBLE), 6) AS am_pm FROM (SELECT count(*) AS n FROM events WHERE extract(hour FROM ts) BETWEEN 8 AND 9) a, (SELECT count(*) AS n FROM events WHERE extract(hour FROM ts) BETWEEN 19 AND 20) p",
+    "ds_q98": f"""
+SELECT p_brand, p_type, p_size, round(sum(l_extendedprice), 2) AS rev, round(sum(l_extendedprice) * 100 / sum(sum(l_extendedprice)) OVER (PARTITION BY p_type), 6) AS ratio FROM {_SALES} x, part WHERE l_partkey = p_partkey AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND o_orderdate BETWEEN date '1999-02-22' AND date '1999-03-24' GROUP BY p_brand, p_type, p_size ORDER BY p_type, p_brand, p_size, rev, ratio""",
+    "ds_q99": """
+SELECT substring(s_name, 1, 20) AS w, l_returnflag, CAST(sum(CASE WHEN l_shipdate <= o_orderdate + interval '30' day THEN 1 ELSE 0 END) AS BIGINT) AS d30, CAST(sum(CASE WHEN l_shipdate > o_orderdate + interval '30' day AND l_shipdate <= o_orderdate + interval '120' day THEN 1 ELSE 0 END) AS BIGINT) AS d120 FROM lineitem, orders, supplier WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey GROUP BY substring(s_name, 1, 20), l_returnflag ORDER BY w, l_returnflag LIMIT 100""",
     "ds_q75": f"""
 WITH s AS (SELECT d_year, l_partkey, sum(cnt) AS cnt, sum(amt) AS amt FROM (
  SELECT d_year, l_partkey, l_quantity - coalesce(q, 0.0) AS cnt, l_extendedprice - coalesce(v, 0.0) AS amt FROM {_SALES} x LEFT JOIN (SELECT l_orderkey AS ok, l_partkey AS pk, min(l_quantity) AS q, min(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_partkey) r ON l_orderkey = ok AND l_partkey = pk
