@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import jaccard, langid, licenses, neardup, ogg, packing, sharding, tokens, toxicity, warc
+from gneiss.llm import jaccard, langid, licenses, neardup, ogg, oracles, packing, sharding, tokens, toxicity, warc
 from gneiss.llm.base import durable, id_remainder
 
 
@@ -101,4 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_lsh_forest_jaccard": oracles.JACCARD,
+        "op7_collision_counting_near_duplicates": oracles.VECTORS,
+        "op9_dictionary_warc": oracles.WARC,
+        "op10_license_scan": oracles.license_sql(),
+    }

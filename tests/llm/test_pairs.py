@@ -131,3 +131,24 @@ def test_count_is_calibrated(m):
     p, need = neardup.WINDOW_RECALL, neardup.least_count(m)
     missed = sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(need))
     assert missed <= neardup.MISS
+
+
+def test_groups_stay_whole_over_batch_bounds():
+    import pyarrow as pa
+
+    from gneiss.llm.groups import each_group
+
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 8))]
+        rows = [(k // 3, k % 3, 0, v) for k, n in enumerate(sizes) for v in range(n)]
+        table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("key", "first", "second", "v"))})
+        seen = []
+
+        def handle(part, seen=seen):
+            seen.append([(r["key"], r["first"], r["second"], r["v"]) for r in part.to_pylist()])
+
+        list(each_group(iter(table.to_batches(max_chunksize=rng.randint(1, 6))), "key", handle))
+        assert [r for part in seen for r in part] == rows
+        groups = [{r[:3] for r in part} for part in seen]
+        assert all(not (a & b) for i, a in enumerate(groups) for b in groups[:i])
