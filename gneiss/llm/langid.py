@@ -39,13 +39,15 @@ def has_letter(text: str) -> bool:
 
 def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Buckets of the n-grams that start at each byte, for each order, and starts and sizes of texts."""
-    raw = [b" " + t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
+    raw = [b" " + t.lower().encode("utf-8", "surrogatepass") + b"   " for t in texts]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer((b"".join(raw) + b"   ").translate(_FOLD), np.uint8).astype(np.uint32)
     n = len(data) - 3
-    out, gram = [], data[:n].copy()
+    out, gram, end = [], data[:n].copy(), np.cumsum(size)
     for k, order in enumerate(range(2, max(ORDERS) + 1)):
         gram = (gram << np.uint32(8)) | data[order - 1 : n + order - 1]
+        for back in range(1, order):
+            gram[end - back] = 0x20202020  # what would reach into the next text is taken as blanks
         hashed = (gram * np.uint32(2654435761) + np.uint32(order * 40503)) * np.uint32(2246822519)
         out.append((hashed >> np.uint32(32 - BITS)).astype(np.int32) + np.int32(k << BITS))
     return out, np.cumsum(size) - size, size
@@ -103,14 +105,14 @@ class Model:
 
 def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_docs: int = 4000) -> Model:
     """A model from rows with a language.  The number of languages is taken to be small."""
-    rows = pick(df, doc_id=id_column, text=text_column, lang=lang_column).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = pick(df, doc_id=id_column, text=text_column, lang=lang_column).filter("lang IS NOT NULL")
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(count)
     share = max(40, train_docs // max(1, len(languages)))
     wanted: Column = F.lit(0)
     for lang in languages:
         wanted = F.when(F.col("lang") == lang, min(1_000_000, math.ceil(1e6 * share / count[lang]))).otherwise(wanted)
-    picked = rows.withColumn("deal", F.xxhash64("doc_id", F.lit("language"))).filter(F.pmod("deal", F.lit(1_000_000)) < wanted)
+    picked = rows.withColumn("deal", F.xxhash64("doc_id", F.lit("language"))).filter(F.pmod("deal", F.lit(1_000_000)) < wanted).filter("text IS NOT NULL")
 
     def run(batches):
         for batch in slices(batches, "text"):

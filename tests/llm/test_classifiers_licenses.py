@@ -32,6 +32,16 @@ def test_language_id_edge_cases(spark, tmp_path):
     assert langid.predict(cases.nothing(spark), empty).count() == 0
 
 
+def test_grams_of_a_text_do_not_depend_on_its_neighbours():
+    data = ["hello wörld", "x", "", "zz top 12", "ein langer Satz über etwas"]
+
+    def grams(texts):
+        found, start, size = langid._grams(texts)
+        return [sorted(np.concatenate([g[a : a + n] for g in found]).tolist()) for a, n in zip(start, size, strict=True)]
+
+    assert grams(data) == [grams([t])[0] for t in data]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 12, 40):
         code = langid.codewords(n).astype(int)
