@@ -3,9 +3,9 @@
 Labelled examples (at most `examples`, half of each class where there are as many) are taken by a
 hash of the id.  Terms are words whose presence depends on the label among the examples (chi-square
 test); their document frequencies are counted over the whole corpus.  Examples lie in an inverted
-index of blocks with each term's largest weight per block; a query visits blocks by falling bound
-and stops when no block left can reach the k-th best cosine, so its neighbours are exact (ties: the
-smaller example number).  Votes weighted by similarity, corrected for the classes' sampling rates,
+index of blocks with each term's largest weight per block; a query visits the blocks of the highest
+bounds and then only those that can still reach the k-th best cosine, so its neighbours are exact
+(ties: the smaller example number).  Votes weighted by similarity, corrected for the classes' sampling rates,
 give a raw score that isotonic regression on leave-one-out scores turns into a probability.
 
 A text without any such term (null and empty ones too) has no neighbours and gets the share of
@@ -27,6 +27,7 @@ from gneiss.llm.base import pick, slices, strings
 from gneiss.llm.words import word_hashes
 
 BLOCK = 64
+FIRST = 8  # blocks visited before the first bound on the k-th best
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -68,22 +69,31 @@ class Index:
         bound = weights @ self.bound[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > 0)]
-        places, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order) and (len(cosines) < self.k or bound[order[at]] >= cosines[-1] - 1e-9):
-            blocks = order[at : at + step]
-            at, step = at + step, step * 2
-            score = np.zeros((len(blocks), BLOCK))
-            for t, w in zip(terms, weights, strict=True):
-                row = self.pointer[t]
-                for i, b in enumerate(blocks):
-                    if (lo := row[b]) < (hi := row[b + 1]):
-                        score[i, self.posting[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            i, j = np.nonzero(score)
-            found = blocks[i] * BLOCK + j
-            ok = found != skip
-            places, cosines = np.concatenate([places, found[ok]]), np.concatenate([cosines, score[i, j][ok]])
+        spans = [(self.pointer[t, 0], self.pointer[t, -1]) for t in terms]
+        posting = np.concatenate([self.posting[lo:hi] for lo, hi in spans])
+        weight = np.concatenate([self.weight[lo:hi] * w for (lo, hi), w in zip(spans, weights, strict=True)])
+        block = posting // BLOCK
+        places, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
+        while at < len(order):
+            if at == 0:
+                to = min(FIRST, len(order))
+            else:  # all blocks that can still reach the k-th best, and no others
+                need = cosines[-1] - 1e-9 if len(cosines) == self.k else 0.0
+                to = at + int(np.count_nonzero(bound[order[at:]] >= need))
+                if to == at:
+                    break
+            visited = np.zeros(len(bound), bool)
+            visited[order[at:to]] = True
+            here = visited[block]
+            score = np.bincount(posting[here], weights=weight[here], minlength=1)
+            found = np.flatnonzero(score)
+            found = found[found != skip]
+            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score[found]])
             top = np.lexsort((places, -np.round(cosines, 9)))[: self.k]
             places, cosines = places[top], cosines[top]
+            if at:
+                break
+            at = to
         return places, np.minimum(cosines, 1.0)
 
     def raw(self, places: np.ndarray, cosines: np.ndarray) -> float:
