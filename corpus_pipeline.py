@@ -18,8 +18,8 @@ from gneiss.llm.queries import tokenizer
 ORACLE_SQL = None
 #: Ids up to this number are sent to the readers of the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A language prediction less certain than this rejects the document.
-LEAST_CERTAIN = 0.4
+#: A language prediction less certain than this many times chance rejects the document.
+LEAST_OVER_CHANCE = 1.2
 #: Toxicity scores from here on reject the document.
 TOXIC = 0.3
 
@@ -33,10 +33,11 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters, or no language certain enough."""
+    """Rejects documents without a language: no letters, or no language likelier than by chance."""
     model = langid.fit(docs.filter(docs["lang"].isNotNull() & (id_remainder("doc_id", 5) != 0)))
     told = langid.predict(docs, model)
-    return without(docs, told.filter((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_CERTAIN)))
+    least = min(0.5, LEAST_OVER_CHANCE / max(1, len(model.languages)))
+    return without(docs, told.filter((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < least)))
 
 
 def toxic_neighbours(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
