@@ -35,6 +35,7 @@ PROJECTIONS = 64
 WINDOW_RECALL = 0.99
 MISS = 1e-7
 BLOCK = 2048
+TILE = 64  # rows whose counts are held at once
 
 
 def _directions(width: int) -> np.ndarray:
@@ -79,7 +80,9 @@ def _meet(threshold: float):
             linked = _linked(vectors[x], vectors[y], threshold)
             if first == second:
                 np.fill_diagonal(linked, False)
-            root_x, root_y = spread(linked, x, y)
+            root_x, root_y = x.copy(), y.copy()
+            in_x, in_y = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            root_x[in_x], root_y[in_y] = spread(linked[np.ix_(in_x, in_y)], x[in_x], y[in_y])
             for members, total, root in [(x, linked @ weight[y], root_x)] + ([] if first == second else [(y, weight[x] @ linked, root_y)]):
                 told = np.flatnonzero(total)
                 out[0] += [name[members[i]] for i in told]
@@ -94,18 +97,25 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs collide often enough and have the cosine."""
     width = x.shape[1]
     rows = _directions(width)
-    half = np.float32(_sigmas(WINDOW_RECALL) * math.sqrt(max(0.0, 2 - 2 * threshold) / width) + 1e-6)
+    half = _sigmas(WINDOW_RECALL) * math.sqrt(max(0.0, 2 - 2 * threshold) / width) + 1e-6
     need = least_count(len(rows)) if width > 8 else 0  # in few dimensions projections are not normal
-    px, py = (x @ rows.T).astype(np.float32), np.ascontiguousarray((y @ rows.T).astype(np.float32).T)
+    # places in steps of a 24th of the half-width, modulo 256: what lies in the window is at most 25
+    # steps away, so one unsigned byte tells it; far values that fall together only add candidates
+    at_x, at_y = (np.floor(v @ rows.T * (24 / half)).astype(np.int64).astype(np.uint8) for v in (x, y))
+    at_x += np.uint8(25)
+    at_y = np.ascontiguousarray(at_y.T)
     linked = np.zeros((len(x), len(y)), bool)
-    for at in range(0, len(x), 256):
-        a = px[at : at + 256]
-        count = np.zeros((len(a), len(y)), np.uint8)
+    for at in range(0, len(x), TILE):
+        part = at_x[at : at + TILE]
+        count, gap = np.zeros((len(part), len(y)), np.uint8), np.empty((len(part), len(y)), np.uint8)
+        hit = np.empty(gap.shape, bool)
         for j in range(len(rows)):
-            count += np.abs(a[:, j, None] - py[j][None, :]) <= half
+            np.subtract(part[:, j, None], at_y[j][None, :], out=gap)
+            np.less_equal(gap, np.uint8(50), out=hit)
+            np.add(count, hit.view(np.uint8), out=count)
         i, k = np.nonzero(count >= need)
         if len(i) * 20 > count.size:  # dense: the whole product is cheaper than picking pairs
-            linked[at : at + 256][i, k] = (x[at : at + 256] @ y.T)[i, k] >= threshold
+            linked[at : at + TILE][i, k] = (x[at : at + TILE] @ y.T)[i, k] >= threshold
         else:
             linked[at + i, k] = np.einsum("ij,ij->i", x[at + i], y[k]) >= threshold
     return linked
