@@ -1,22 +1,26 @@
 """Operator 6: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Labelled examples (at most `examples`, half of each class where there are as many) are taken by a
-hash of the id.  Terms are words whose presence depends on the label among the examples (chi-square
-test); their document frequencies are counted over the whole corpus.  Examples lie in an inverted
-index of blocks with each term's largest weight per block; a query visits the blocks of the highest
-bounds and then only those that can still reach the k-th best cosine, so its neighbours are exact
-(ties: the smaller example number).  Votes weighted by similarity, corrected for the classes' sampling rates,
-give a raw score that isotonic regression on leave-one-out scores turns into a probability.
+hash of the id.  Terms are all words of all examples; their document frequencies are counted over the
+whole corpus.  Words whose presence depends on the label among the examples (chi-square test, at most
+`terms`) weigh more: a vector is the unit TF-IDF vector of all words beside the unit vector of these
+words alone, LABEL_SHARE of the square of the norm in the latter (none where a text has none of them),
+so that a cosine is 1 exactly where both agree.  A word of no example would only scale all cosines of
+a text alike and is left out.  Examples lie in an inverted index of blocks with each term's largest
+weight per block; a query visits the blocks of the highest bounds and then only those that can still
+reach the k-th best cosine, so its neighbours are exact (ties: the smaller example number).  Votes
+weighted by similarity, corrected for the classes' sampling rates, give a raw score that isotonic
+regression on leave-one-out scores turns into a probability.
 
-A text without any such term (null and empty ones too) has no neighbours and gets the share of
-toxic examples among the examples without one.  Without examples every score is 0.  Conflicting
+A text without any word of an example (null and empty ones too) has no neighbours and gets the share
+of toxic examples among the examples without a word.  Without examples every score is 0.  Conflicting
 labels of an id count as toxic; repeated rows and other columns have no effect on a row's result.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 from gneiss.llm.base import pick, slices, strings
 from gneiss.llm.words import word_hashes
 
-BLOCK = 64
-FIRST = 8  # blocks visited before the first bound on the k-th best
+BLOCK = 512
+FIRST = 2  # blocks visited before the first bound on the k-th best
+LABEL_SHARE = 0.8  # of a vector's square, in the words that depend on the label
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -40,10 +45,10 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 class Index:
     terms: np.ndarray  # sorted word hashes
     idf: np.ndarray
-    pointer: np.ndarray  # terms x (blocks + 1): where a block's postings of a term begin
+    pointer: np.ndarray  # rows (terms, then those of `label`) x (blocks + 1): where a block's postings of a term begin
     posting: np.ndarray  # example places
     weight: np.ndarray
-    bound: np.ndarray  # terms x blocks: the largest weight
+    bound: np.ndarray  # rows x blocks: the largest weight
     example: np.ndarray  # ids by place
     toxic: np.ndarray  # by place
     vote: np.ndarray  # inverse sampling rate by place
@@ -52,15 +57,21 @@ class Index:
     steps: np.ndarray  # isotonic calibration
     values: np.ndarray
     k: int = 16
+    label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted places in terms of the words that depend on the label
 
     def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weights of a text's unit vector."""
         if not len(self.terms) or not len(words):
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         here = self.terms[at] == words
         at = at[here]
         w = (1 + np.log(counts[here])) * self.idf[at]
-        return at, w / (math.sqrt(w @ w) or 1)
+        row = np.minimum(np.searchsorted(self.label, at), max(0, len(self.label) - 1))
+        own = self.label[row] == at if len(self.label) else np.zeros(len(at), bool)
+        parts = [(at, w), (row[own] + len(self.terms), w[own])] if own.any() else [(at, w)]
+        shares = [1 - LABEL_SHARE, LABEL_SHARE] if own.any() else [1.0]
+        return np.concatenate([r for r, _ in parts]), np.concatenate([v * math.sqrt(share / ((v @ v) or 1)) for (_, v), share in zip(parts, shares, strict=True)])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term."""
@@ -69,10 +80,7 @@ class Index:
         bound = weights @ self.bound[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > 0)]
-        spans = [(self.pointer[t, 0], self.pointer[t, -1]) for t in terms]
-        posting = np.concatenate([self.posting[lo:hi] for lo, hi in spans])
-        weight = np.concatenate([self.weight[lo:hi] * w for (lo, hi), w in zip(spans, weights, strict=True)])
-        block = posting // BLOCK
+        pointer = self.pointer[terms]
         places, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
         while at < len(order):
             if at == 0:
@@ -82,13 +90,16 @@ class Index:
                 to = at + int(np.count_nonzero(bound[order[at:]] >= need))
                 if to == at:
                     break
-            visited = np.zeros(len(bound), bool)
-            visited[order[at:to]] = True
-            here = visited[block]
-            score = np.bincount(posting[here], weights=weight[here], minlength=1)
+            begin = pointer[:, order[at:to]].ravel()
+            size = pointer[:, order[at:to] + 1].ravel() - begin
+            here = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            score = np.bincount(self.posting[here], weights=self.weight[here] * np.repeat(np.repeat(weights, to - at), size), minlength=1)
             found = np.flatnonzero(score)
             found = found[found != skip]
             places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score[found]])
+            if len(cosines) > self.k:
+                near = cosines >= np.partition(cosines, -self.k)[-self.k] - 2e-9
+                places, cosines = places[near], cosines[near]
             top = np.lexsort((places, -np.round(cosines, 9)))[: self.k]
             places, cosines = places[top], cosines[top]
             if at:
@@ -116,7 +127,7 @@ def fit(
     chi_square: float = 25.0,
     least_expected: float = 0.3,
 ) -> Index:
-    """An index of at most `examples` labelled rows over at most `terms` terms."""
+    """An index of at most `examples` labelled rows over all their words, of which at most `terms` weigh more."""
     spark = df.sparkSession
     label = pick(labels, doc_id=label_id_column or id_column, toxic=label_column).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     label = label.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -141,9 +152,9 @@ def fit(
     n = len(toxic)
     rate = np.array([min(1.0, cap / max(1, have.get(v, 0))) for v in (0, 1)])
 
-    # terms that depend on the label
+    # terms, and those of them that depend on the label
     alone = list({(w.tobytes(), c.tobytes(), y): i for i, ((w, c), y) in enumerate(zip(docs, toxic.tolist(), strict=True))}.values())  # copies count once
-    every = np.concatenate([docs[i][0] for i in alone]) if alone else np.zeros(0, np.uint64)
+    every = np.concatenate([docs[i][0] for i in alone]) if alone else np.zeros(0, np.uint64)  # copies have no other words
     word, where = np.unique(every, return_inverse=True)
     with_label = np.repeat(toxic[alone], [len(docs[i][0]) for i in alone]) if alone else np.zeros(0, np.int64)
     m, m1 = len(alone), int(toxic[alone].sum()) if alone else 0
@@ -155,10 +166,9 @@ def fit(
     expected = total * min(m1, m - m1) / max(1, m)  # of the rarer label, were it independent
     kept = np.flatnonzero((chi >= chi_square) & (expected >= least_expected))
     kept = kept[np.argsort(-chi[kept], kind="stable")[:terms]]
-    chosen_terms = np.sort(word[kept])
 
     # document frequencies of the terms over the whole corpus
-    shared = spark.sparkContext.broadcast(chosen_terms)
+    shared = spark.sparkContext.broadcast(word)
 
     def counted(batches):
         here = shared.value
@@ -175,13 +185,12 @@ def fit(
         found = np.flatnonzero(times)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times[found])], names=["term", "n"])
 
-    df_rows = pick(df, text=text_column).mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    frequency = np.zeros(len(chosen_terms) + 1)
-    for r in df_rows:
-        frequency[r["term"]] = r["n"]
+    df_rows = pick(df, text=text_column).mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(word) + 1)
+    frequency[df_rows.column("term").to_numpy()] = df_rows.column("n").to_numpy()
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
-    index = Index(chosen_terms, idf, *[np.zeros(0)] * 8, 0.0, np.zeros(0), np.zeros(0))
+    index = Index(word, idf, *[np.zeros(0)] * 7, 0.0, 0.0, np.zeros(0), np.zeros(0), label=np.sort(kept))
     vectors = [index.vector(w, c) for w, c in docs]
     vote = np.where(toxic == 1, 1 / rate[1], 1 / rate[0]) if n else np.zeros(0)
     index.prior = float(vote @ toxic / vote.sum()) if n else 0.0
@@ -196,14 +205,17 @@ def fit(
     t = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
     w = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
     p = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, np.int64)
-    by = np.lexsort((p, t))
+    by = np.argsort(t, kind="stable")  # places rise within a term
     t, w, p = t[by], w[by], p[by]
     index.posting, index.weight = p.astype(np.int32), w
-    cell = t * blocks + p // BLOCK
-    index.bound = np.zeros((len(chosen_terms), blocks))
-    np.maximum.at(index.bound.reshape(-1), cell, w)
-    edges = np.searchsorted(cell, np.arange(len(chosen_terms) * blocks + 1)) if blocks else np.zeros(1, np.int64)
-    index.pointer = np.stack([edges[i * blocks : i * blocks + blocks + 1] for i in range(len(chosen_terms))]) if blocks else np.zeros((0, 1), np.int64)
+    cell, lines = t * blocks + p // BLOCK, len(word) + len(kept)
+    index.bound = np.zeros((lines, blocks), np.float32)
+    above = w.astype(np.float32)
+    np.maximum.at(index.bound.reshape(-1), cell, np.where(above < w, np.nextafter(above, np.float32(2)), above))
+    edges = np.searchsorted(cell, np.arange(lines * blocks + 1)).astype(np.int32)
+    index.pointer = np.zeros((lines, blocks + 1), np.int32)
+    if blocks:
+        index.pointer[:, :-1], index.pointer[:, -1] = edges[:-1].reshape(lines, blocks), edges[blocks::blocks]
     # calibration: leave-one-out scores of the examples themselves
     if order:
         raw = np.array([index.raw(*index.nearest(*vectors[i], skip=k)) for k, i in enumerate(order)])
@@ -226,7 +238,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def score(df: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, score (the probability of label 1) and evidence (nearest examples: id, similarity, toxic)."""
     rows = pick(df, doc_id=id_column, text=text_column)
-    shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by `examples` and `terms`
+    shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by the words of `examples` texts
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

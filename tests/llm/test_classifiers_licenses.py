@@ -99,6 +99,39 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosines, best) and np.allclose(all_cosines[places], cosines)
 
 
+def test_all_words_and_all_examples_are_searched(spark):
+    rng = random.Random(8)
+    stock = [cases.word(rng) for _ in range(300)]
+    texts = [" ".join(rng.choice(stock) for _ in range(rng.randint(3, 60))) for _ in range(120)]
+    texts += texts[:10]  # the copies carry no label
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(120)], "doc_id long, toxic int")  # no word tells
+    index = toxicity.fit(docs, labels)
+    assert sorted(index.example.tolist()) == list(range(120)) and not len(index.label)
+    words = sorted({w for t in texts for w in t.split()})
+    held = [set(t.split()) for t in texts]
+    idf = np.array([math.log((1 + len(texts)) / (1 + sum(w in h for h in held))) + 1 for w in words])
+    count = np.array([[t.split().count(w) for w in words] for t in texts])
+    dense = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * idf
+    dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    for r in toxicity.score(docs, index).collect():
+        cosines = dense[:120] @ dense[r.doc_id]
+        assert np.allclose([e.similarity for e in r.evidence], np.sort(cosines)[::-1][: index.k])
+        assert np.allclose([e.similarity for e in r.evidence], cosines[[e.example for e in r.evidence]])
+        assert r.evidence[0].example == r.doc_id % 120 and abs(r.evidence[0].similarity - 1) < 1e-9
+
+
+def test_words_that_depend_on_the_label_weigh_more(spark):
+    rng = random.Random(9)
+    texts = [cases.prose(rng, 30) + (" vilex" if i % 4 == 0 else "") for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (999, cases.prose(rng, 30) + " vilex")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert len(index.label) == 1 and len(index.example) == 200
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    assert all(e.toxic for e in got[999].evidence) and got[999].score > 0.9
+    assert len(got[1].evidence) and got[1].score < 0.1
+
+
 def test_toxicity_without_examples(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = cases.documents(spark)
