@@ -15,7 +15,8 @@ sums of links per class leave a task, never pairs.
 
 Result: one row per document with its class_id (the smallest id reachable by links), n_links (other
 documents linked directly, copies counted each) and kept (it is that smallest id).  Rows repeated
-with their id count as copies.  An empty table gives an empty result.
+with their id count as copies.  Rows with a null id are linked like others; class_id is null where no
+row reached has an id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -238,8 +239,9 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wo
     wanted = durable(groups.join(size, "comp").join(classes.select("class", "weight", "doc"), "class"))
     rows = pick(df, doc=id_column, text=text_column)
     needed = wanted.select("doc", "class", "comp", "size", "weight")
+    lacking = needed.filter("doc IS NULL").drop("doc")
     if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
+        needed, lacking = F.broadcast(needed), F.broadcast(lacking)
     texts = rows.join(needed, "doc")
 
     def sets(batches):
@@ -255,6 +257,16 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wo
             yield pa.RecordBatch.from_arrays([*small.columns, pa.array(blobs, pa.binary())], names=["class", "comp", "size", "weight", "shingles"])
 
     held = texts.select("text", "class", "comp", "size", "weight").mapInArrow(sets, "class binary, comp long, size long, weight long, shingles binary")
+
+    def named(batches):
+        for batch in slices(batches, "text"):
+            hashes, offset = word_hashes(strings(batch, "text"))
+            found = [s for s in (shingle_hashes(hashes[a:b], words) for a, b in pairwise(offset.tolist())) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "shingles"])
+
+    if not lacking.isEmpty():  # classes of rows without an id go by their name
+        own = rows.filter("doc IS NULL").select("text").mapInArrow(named, "class binary, shingles binary").join(lacking, "class")
+        held = held.unionByName(own.groupBy("class", "comp", "size", "weight").agg(F.any_value("shingles").alias("shingles")))
     tasks = gathered(block_pairs(held, "comp", "class", F.col("size"), block), "comp")
     checked = durable(tasks.mapInArrow(_verify(threshold), "class binary, links long, root binary"))
 

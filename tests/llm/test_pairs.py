@@ -54,6 +54,18 @@ def test_jaccard_query(spark, tmp_path):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
 
 
+def test_jaccard_links_rows_without_an_id(spark):
+    rng = random.Random(21)
+    base, other = cases.prose(rng, 80), cases.prose(rng, 80)
+    data = [(7, base), (None, base + " tail"), (None, base + " tail"), (None, "head " + base), (None, other), (None, other + " tail"), (8, cases.prose(rng, 40))]
+    sets = [shingles(t) for _, t in data]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    rows = jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = expected([i for i, _ in data], near)
+    assert want[7, 7, 3] == 1 and want[None, None, 1] == 2
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in rows) == want
+
+
 def test_jaccard_large_group_in_small_blocks(spark):
     rng = random.Random(9)
     base = cases.prose(rng, 60)
