@@ -2,17 +2,19 @@
 
 `parse` reads pages one after another, checks each checksum (a page that fails is skipped and
 counted, the search goes on at the next capture pattern), tells logical streams apart by serial
-number, joins packets from lacing values over page bounds, and turns granule positions into times.
-`build` writes pages of several streams interleaved in the order of time.
+number (a serial that begins again after its end is a stream of its own: a chained one) and joins
+packets from lacing values over page bounds.  A page's granule position is that of the last packet
+that ends on it; `Stream.spans` derives the others from the packets' durations.  `build` writes
+pages of several streams interleaved in the order of time.
 
 Null texts count as empty; repeated rows and other columns have no effect on a row's result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +39,7 @@ def checksum(data: bytes) -> int:
 class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    granules: list[int] = field(default_factory=list)  # of the page on which a packet ends
+    granules: list[int] = field(default_factory=list)  # a page's, at the last packet that ends on it; else -1
     pages: int = 0
     lost: int = 0  # pages missing by sequence number
     ended: bool = False
@@ -45,9 +47,30 @@ class Stream:
     _open: list[bytes] = field(default_factory=list)
     _joined: bool = False
 
-    def times(self, rate: int, skip: int = 1) -> list[int]:
-        """Microseconds at which each packet after the headers ends, -1 where its page tells none."""
-        return [g * 1_000_000 // rate if g >= 0 else -1 for g in self.granules[skip:]]
+    def spans(self, duration: Callable[[bytes], int], skip: int = 1) -> list[tuple[int, int]]:
+        """Granules at which each packet after the headers begins and ends.  Packets before one whose
+        end is known end where the next one begins; packets behind the last known end go on from there.
+        A last packet that would reach beyond the end of the stream is cut there."""
+        length = [duration(p) for p in self.packets[skip:]]
+        known = self.granules[skip:]
+        out: list[tuple[int, int]] = []
+        at, first = 0, 0  # the end so far; the first packet not placed yet
+        for i, granule in enumerate(known):
+            if granule < 0:
+                continue
+            total = sum(length[first : i + 1])
+            if self.ended and i == len(known) - 1 and at + total - length[i] <= granule < at + total:
+                total = granule - at  # the end of the stream cuts the last packet
+            at = granule - total
+            for k in range(first, i + 1):
+                end = granule if k == i else at + length[k]
+                out.append((at, end))
+                at = end
+            first = i + 1
+        for n in length[first:]:
+            out.append((at, at + n))
+            at += n
+        return out
 
 
 def page(serial: int, number: int, granule: int, flags: int, lacing: bytes, body: bytes) -> bytes:
@@ -87,7 +110,6 @@ def paginate(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[int, b
 def build(streams: dict[int, list[tuple[bytes, int]]]) -> bytes:
     """One physical stream: the first pages of all logical streams, then the rest by time."""
     paged = [paginate(serial, packets) for serial, packets in streams.items() if packets]
-    rest = sorted(((t, s, n, p) for s, pages in enumerate(paged) for n, (t, p) in enumerate(pages) if n), key=lambda x: x[:3])
     # granule -1 pages keep their place behind the page before them
     order: list[tuple[int, int, int, bytes]] = []
     latest: dict[int, int] = {}
@@ -100,9 +122,11 @@ def build(streams: dict[int, list[tuple[bytes, int]]]) -> bytes:
     return b"".join(pages[0][1] for pages in paged) + b"".join(x[3] for x in rest)
 
 
-def parse(data: bytes) -> tuple[dict[int, Stream], int]:
-    """Logical streams by serial number, and the number of pages that failed their checksum."""
-    streams: dict[int, Stream] = {}
+def parse(data: bytes) -> tuple[list[Stream], int]:
+    """Logical streams in the order of their first pages, and the number of pages that failed their
+    checksum."""
+    streams: list[Stream] = []
+    latest: dict[int, Stream] = {}  # by serial number
     at, bad = 0, 0
     while (at := data.find(b"OggS", at)) >= 0:
         if at + 27 > len(data):
@@ -115,7 +139,10 @@ def parse(data: bytes) -> tuple[dict[int, Stream], int]:
             bad += 1
             at += 4
             continue
-        s = streams.setdefault(serial, Stream(serial))
+        s = latest.get(serial)
+        if s is None or (s.ended and flags & FIRST):
+            s = latest[serial] = Stream(serial)
+            streams.append(s)
         if number != s._next:
             s.lost += max(0, number - s._next)
             s._open, s._joined = [], False
@@ -126,15 +153,18 @@ def parse(data: bytes) -> tuple[dict[int, Stream], int]:
             s._open, s._joined = [], True
         pos, run = at + 27 + segments, 0
         joined = s._joined  # else the page goes on with a packet whose start is lost
+        before = len(s.packets)
         for k, v in enumerate(lacing):
             run += v
             if v < 255:
                 if joined:
                     s.packets.append(b"".join([*s._open, data[pos : pos + run]]))
-                    s.granules.append(granule)
+                    s.granules.append(-1)
                 s._open, joined, pos, run = [], True, pos + run, 0
             elif k == len(lacing) - 1 and joined:
                 s._open.append(data[pos : pos + run])
+        if len(s.packets) > before:
+            s.granules[-1] = granule
         s._joined = joined
         at = end
     return streams, bad
@@ -151,27 +181,33 @@ def store(payload: bytes, rate: int = 8000, frame: int = 4096) -> bytes:
     sums = b"".join(struct.pack("<I", zlib.crc32(f)) for f in frames)
     return build({
         serial: [(head, 0), *zip(frames, ends, strict=True)],
-        serial ^ 0xFFFFFFFF: [(b"SUMS    " + struct.pack("<I", rate), 0), *((sums[4 * i : 4 * i + 4], e) for i, e in enumerate(ends))],
+        serial ^ 0xFFFFFFFF: [(b"SUMS    " + struct.pack("<II", rate, frame), 0), *((sums[4 * i : 4 * i + 4], e) for i, e in enumerate(ends))],
     })
 
 
 def load(media: bytes) -> tuple[bytes, dict]:
-    """The payload read back, and what the container tells.  Raises if anything is damaged."""
+    """The payload read back, and what the container tells.  Raises if anything is damaged, or if the
+    two streams do not tell the same times."""
     streams, bad = parse(media)
-    samples = next((s for s in streams.values() if s.packets and s.packets[0][:8] == b"PCM     "), None)
-    sums = next((s for s in streams.values() if s.packets and s.packets[0][:8] == b"SUMS    "), None)
+    samples = next((s for s in streams if s.packets and s.packets[0][:8] == b"PCM     "), None)
+    sums = next((s for s in streams if s.packets and s.packets[0][:8] == b"SUMS    "), None)
     if bad or samples is None or sums is None or samples.lost or sums.lost or not samples.ended:
         raise ValueError("damaged Ogg stream")
     rate = struct.unpack_from("<I", samples.packets[0], 12)[0]
+    frame = struct.unpack_from("<I", sums.packets[0], 12)[0]
     if [struct.unpack("<I", p)[0] for p in sums.packets[1:]] != [zlib.crc32(p) for p in samples.packets[1:]]:
         raise ValueError("samples do not match their checksums")
-    times = samples.times(rate)
-    return b"".join(samples.packets[1:]), {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": len(samples.packets) - 1, "rate": rate, "micros": max(times, default=0)}
+    spans = samples.spans(len)
+    if spans != sums.spans(lambda _: frame):
+        raise ValueError("the times of samples and checksums differ")
+    micros = [(a * 1_000_000 // rate, b * 1_000_000 // rate) for a, b in spans]
+    return b"".join(samples.packets[1:]), {"streams": len(streams), "pages": sum(s.pages for s in streams), "packets": len(spans), "rate": rate, "micros": max((b for _, b in micros), default=0), "spans": ",".join(f"{a}-{b}" for a, b in micros)}
 
 
 def text_media(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = 64, rate: int = 8000) -> DataFrame:
     """Stores each text (UTF-8, zeros up to a positive multiple of `block`) as Ogg and reads it back:
-    doc_id, n_bytes, media (the stored file), payload (as read back) and feature."""
+    doc_id, n_bytes, media (the stored file), payload (as read back) and feature (what the container
+    tells, with the microseconds at which each packet begins and ends, and levels of the samples)."""
     rows = pick(df, doc_id=id_column, text=text_column)
 
     def run(batches):

@@ -41,15 +41,52 @@ def test_ogg_checksum_by_definition():
         assert ogg.checksum(data) == slow(data)
 
 
-@pytest.mark.parametrize("sizes", [[0], [1, 254, 255, 256], [510, 0, 65025, 65024, 65026], [200_000, 3], [255 * 255 * 2]])
-def test_ogg_packets_survive(sizes):
-    packets = [(bytes((i + k) % 251 for i in range(n)), 10 * (k + 1)) for k, n in enumerate(sizes)]
+def page_ends(sizes):
+    """Which packets are the last to end on their page, by laying the segments out one by one."""
+    page, used, last = 0, 0, {}
+    for k, n in enumerate(sizes):
+        for _ in range(n // 255 + 1):
+            if used == 255:
+                page, used = page + 1, 0
+            used += 1
+        last[page] = k
+        if k == 0:
+            page, used = page + 1, 0
+    return set(last.values())
+
+
+@pytest.mark.parametrize("sizes", [[0], [1, 254, 255, 256], [510, 0, 65025, 65024, 65026], [200_000, 3], [255 * 255 * 2], [30] + [4096] * 40 + [77]])
+def test_ogg_packets_and_granules_survive(sizes):
+    packets = [(bytes((i + k) % 251 for i in range(n)), sum(sizes[1 : k + 1])) for k, n in enumerate(sizes)]
     other = [(b"head", 0), (b"x" * 300, 15), (b"", 25)]
     data = ogg.build({7: packets, 9: other})
-    streams, bad = ogg.parse(data)
-    assert bad == 0 and streams[7].packets == [p for p, _ in packets] and streams[9].packets == [p for p, _ in other]
-    assert streams[7].granules == [g for _, g in packets] or len(sizes) > 1
-    assert streams[7].ended and streams[9].ended and not streams[7].lost
+    (one, two), bad = ogg.parse(data)
+    assert bad == 0 and one.packets == [p for p, _ in packets] and two.packets == [p for p, _ in other]
+    ends = page_ends(sizes)
+    assert one.granules == [g if k in ends else -1 for k, (_, g) in enumerate(packets)]
+    assert one.spans(len) == [(g - len(p), g) for p, g in packets[1:]]
+    assert one.ended and two.ended and not one.lost
+
+
+def test_ogg_times_of_many_packets_on_a_page():
+    payload = bytes(range(256)) * 320  # 20 frames of 4096, fifteen of them on the first page
+    back, info = ogg.load(ogg.store(payload))
+    assert back == payload and info["packets"] == 20
+    assert info["spans"] == ",".join(f"{k * 512_000}-{(k + 1) * 512_000}" for k in range(20))
+
+
+def test_ogg_last_packet_is_cut_by_the_end():
+    (s,), _ = ogg.parse(ogg.build({1: [(b"h", 0), (b"a", 100), (b"b", 200), (b"c", 250)]}))
+    assert s.spans(lambda _: 100) == [(0, 100), (100, 200), (200, 250)]
+    (s,), _ = ogg.parse(ogg.build({1: [(b"h", 0), (b"a", 1100), (b"b", 1200)]}))  # begins late: told from behind
+    assert s.spans(lambda _: 100) == [(1000, 1100), (1100, 1200)]
+
+
+def test_ogg_chained_serials_are_streams_of_their_own():
+    first, second = [(b"h", 0), (b"abc", 3)], [(b"H", 0), (b"defg", 4)]
+    streams, bad = ogg.parse(ogg.build({5: first}) + ogg.build({5: second}))
+    assert bad == 0 and [s.packets for s in streams] == [[b"h", b"abc"], [b"H", b"defg"]]
+    assert all(s.ended and not s.lost for s in streams)
 
 
 def test_ogg_damage_is_found():
@@ -73,9 +110,13 @@ def test_ogg_query(spark, tmp_path):
         raw = (t or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         media = ogg.store(payload)
-        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+        level = [b - 128 for b in payload]
+        mean, rms = sum(level) / len(level), (sum(v * v for v in level) / len(level)) ** 0.5
+        spans = [(a * 125, min(a + 4096, len(payload)) * 125) for a in range(0, len(payload), 4096)]
+        said = f"packets={len(spans)};rate=8000;micros={spans[-1][1]};spans={','.join(f'{a}-{b}' for a, b in spans)};mean={mean:.6f};rms={rms:.6f}"
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), said))
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
-    assert sorted((tuple(r)[:7] for r in got), key=key) == sorted(want, key=key)
+    assert sorted(((*tuple(r)[:7], r.feature[r.feature.index("packets=") :]) for r in got), key=key) == sorted(want, key=key)
     assert queries.op8_ogg_media(spark, cases.write(cases.nothing(spark), tmp_path / "e", "documents")).count() == 0
 
 
