@@ -2,7 +2,8 @@
 
 An archive starts with a skippable Zstandard frame that holds a dictionary built from records of the
 archive itself; each record follows as a frame of its own, compressed with that dictionary, so any
-record can be read with the dictionary and its offset alone.  Archives are rows (name, records,
+record can be read with the dictionary and its offset alone.  Payloads are not shuffled: only the
+digests of repeated ones are, and their keepers go to where the pages are read.  Archives are rows (name, records,
 data) of about ARCHIVE_BYTES each: Spark's writers bring them to any store.
 
 Records whose payloads are equal and of at least `least` bytes are stored once, with the largest
@@ -24,9 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.base import pick
+from gneiss.llm.base import durable, pick
 
 SKIPPABLE = 0x184D2A5D
+FRAME = 0xFD2FB528
+BROADCAST_BYTES = 64_000_000  # repeated payloads' digests and keepers are sent to the pages up to this size
+HOT_SHARE = 10_000  # beyond it, digests of at least this part of all pages are still sent, and only they
 ARCHIVE_BYTES = 8_000_000  # of payload in one archive; one larger record makes an archive of its own
 DICTIONARY_BYTES = 32_768  # at most; a small archive has a dictionary of a 32nd of its records' bytes
 TRAINING_BYTES = 1_500_000  # records that a dictionary is built from, spread over the archive
@@ -86,22 +90,60 @@ def decompress(data: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
     at, view = 8 + size, memoryview(data)
     while at < len(data):
-        one = reader.decompressobj()
-        yield one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError("truncated archive")
-        at = len(data) - len(one.unused_data)
+        end = frame_end(data, at)
+        yield reader.decompress(view[at:end])
+        at = end
+
+
+def frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame that begins at `at` ends: by its header and the sizes of its blocks,
+    without decompressing anything."""
+    try:
+        magic, flags = struct.unpack_from("<IB", data, at)
+        if magic != FRAME:
+            raise ValueError("not a Zstandard frame")
+        single = flags >> 5 & 1
+        content = (1 if single else 0, 2, 4, 8)[flags >> 6]
+        at += 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + content
+        last = 0
+        while not last:
+            head = int.from_bytes(data[at : at + 3], "little")
+            last = head & 1
+            at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)  # a run is one byte, whatever its length
+            if at > len(data):
+                raise ValueError("truncated archive")
+        at += 4 * (flags >> 2 & 1)
+    except struct.error as short:
+        raise ValueError("truncated archive") from short
+    if at > len(data):
+        raise ValueError("truncated archive")
+    return at
+
+
+def with_keepers(rows: DataFrame, kept: DataFrame, size: int, repeated: int, least: int, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with `kept`, the page that keeps the payload, null where the payload is not repeated.  The
+    table of repeated digests (`size` bytes) goes to the pages, which stay where they are read; where
+    it is too large, digests of many pages still do, and only pages of other digests are shuffled."""
+    on = (F.col("digest") == F.col("kept_digest")) & (F.octet_length("payload") >= least)
+    if size <= bound:
+        return rows.join(F.broadcast(kept.drop("n")), on, "left").drop("kept_digest")
+    many = F.col("n") * HOT_SHARE >= repeated  # at most HOT_SHARE digests
+    hot = rows.join(F.broadcast(kept.filter(many).select("kept_digest", F.col("kept").alias("hot_kept"))), on, "left").withColumnRenamed("kept_digest", "hot_digest")
+    rest = hot.filter("hot_digest IS NULL").drop("hot_digest", "hot_kept").join(kept.filter(~many).drop("n"), on, "left").drop("kept_digest")
+    return hot.filter("hot_digest IS NOT NULL").withColumnRenamed("hot_kept", "kept").drop("hot_digest").unionByName(rest)
 
 
 def archives(df: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 1000) -> DataFrame:
     """Rows archive (name), records, data (binary): every row of df becomes a WARC record."""
     rows = pick(df, page_id=id_column, url=url_column, html=payload_column)
     rows = rows.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     # the page that keeps a repeated payload: one row per repeated digest, counted before the shuffle
-    large = rows.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least)
-    kept = large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("kept_digest"), "kept")
-    joined = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & (F.octet_length("payload") >= least), "left")
+    large = rows.filter(F.octet_length("payload") >= least).select("page_id", "digest")
+    kept = large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("kept_digest"), "kept", "n")
+    kept = durable(kept)
+    told = kept.agg(F.count("*"), F.sum("n"), F.coalesce(F.sum(F.octet_length(F.col("kept").cast("string"))), F.lit(0)).cast("long")).first()
+    joined = with_keepers(rows, kept, told[0] * 60 + told[2], told[1] or 0, least)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     joined = joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -122,7 +164,7 @@ def archives(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
                     ("WARC-Date", "1970-01-01T00:00:00Z"),
                     ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f-\x9f]", lambda m: f"%{ord(m[0]):02X}", url.as_py() or "urn:none")),
                     ("Content-Type", "text/html"),
-                    ("WARC-Payload-Digest", f"sha1:{digest.as_py()}"),
+                    ("WARC-Payload-Digest", f"sha1:{digest.as_py().hex()}"),
                     ("Page-ID", "" if page is None else str(page)),
                     ("Payload-Length", str(len(payload))),
                 ]
@@ -164,7 +206,7 @@ def read(archived: DataFrame, kind: str = "long") -> DataFrame:
 
 
 def export(archived: DataFrame, folder: str) -> None:
-    """Writes each archive as a file of its own into a folder that all executors share."""
+    """Writes each archive as a file of its own into a folder that is mounted on all executors."""
 
     def run(batches):
         for batch in batches:

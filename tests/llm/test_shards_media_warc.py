@@ -139,6 +139,21 @@ def test_warc_query(spark, tmp_path):
     assert queries.op9_dictionary_warc(spark, cases.write(empty, tmp_path / "e", "pages")).count() == 0
 
 
+def test_warc_odd_pages_and_every_way_to_the_keeper(spark):
+    body, other = "x" * 2000, "y" * 1500
+    data = [(None, "u", body), (1, "u", body), (1, "u", body), (9, None, body), (9, "v", body), (None, "u", other), (None, "u", other), (4, "u", "z" * 9_000_000), (5, "u", "z" * 9_000_000)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = warc.read(warc.archives(df)).select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+    want = [(None, "revisit", 9, 2000), (1, "revisit", 9, 2000), (1, "revisit", 9, 2000), (9, "response", None, 2000), (9, "response", None, 2000)]
+    want += [(None, "response", None, 1500)] * 2 + [(4, "revisit", 5, 9_000_000), (5, "response", None, 9_000_000)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    digest = lambda t: hashlib.sha1(t.encode()).digest()
+    rows = spark.createDataFrame([(i, bytearray(t.encode()), bytearray(digest(t))) for i, _, t in data], "page_id long, payload binary, digest binary")
+    kept = spark.createDataFrame([(bytearray(digest(body)), 9, 50_000), (bytearray(digest("z" * 9_000_000)), 5, 2)], "kept_digest binary, kept long, n long")
+    ways = [sorted(str((r.page_id, r.kept)) for r in warc.with_keepers(rows, kept, 120, 50_002, 1000, bound).collect()) for bound in (0, 1_000_000)]
+    assert ways[0] == ways[1] == sorted(str((i, 9 if t == body else 5 if t[0] == "z" else None)) for i, _, t in data)
+
+
 def test_warc_archive_form(tmp_path, spark):
     import struct
 
