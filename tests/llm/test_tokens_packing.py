@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -107,8 +108,64 @@ def test_packing_levels_and_empty_table(spark):
     assert packing.pack(packing.pieces(cases.nothing(spark), WORD)).count() == 0
 
 
-def test_local_search_beats_best_fit():
-    lengths = [6, 5, 4, 3, 3, 3]  # best fit opens [6,4] [5,3] [3,3]: fills 10, 8, 6
-    bins = packing.improve(packing.best_fit(lengths, 12), lengths, 12)
-    assert len(bins) == 2 and sorted(i for b in bins for i in b) == list(range(6))
-    assert all(sum(lengths[i] for i in b) <= 12 for b in bins)
+def squares(bins, lengths):
+    return int((np.bincount(bins, weights=lengths) ** 2).sum())
+
+
+def test_local_search_empties_bins():
+    lengths = np.array([5, 4, 3, 6, 3, 3])  # first fit opens [5 4 3] [6 3 3]; as few as there can be
+    bins = packing.first_fit(lengths, 12)
+    assert packing.improve(bins, lengths, 12) == 0 and len(set(bins)) == 2
+    lengths = np.array([7, 7, 3, 2, 5])  # [7 3 2] [7 5]
+    bins = np.array([0, 1, 0, 2, 2])  # fills 10, 7, 7
+    assert packing.improve(bins, lengths, 12) > 0 and len(set(bins)) == 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60), st.integers(0, 2**32 - 1))
+def test_local_search_keeps_items_and_raises_squares(data, seed):
+    lengths = np.array(data, dtype=np.int64)
+    bins = packing.first_fit(lengths, 20)
+    order = np.random.default_rng(seed).permutation(len(data))  # any order, any start
+    alone = np.arange(len(data)) if seed % 2 else bins
+    bins, lengths = alone.copy(), lengths[order] if seed % 2 else lengths
+    before, count = squares(bins, lengths) if len(bins) else 0, len(set(bins.tolist()))
+    packing.improve(bins, lengths, 20)
+    if len(bins):
+        assert np.bincount(bins, weights=lengths).max() <= 20
+        assert squares(bins, lengths) >= before and len(set(bins.tolist())) <= count
+        assert len(set(bins.tolist())) >= -(-lengths.sum() // 20)
+
+
+def test_local_search_does_the_work_on_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lengths = np.array([r.length for r in packing.pieces(docs, WORD).select("length").collect()])
+    bins = packing.first_fit(lengths, 2048)
+    start, least = len(set(bins.tolist())), -(-lengths.sum() // 2048)
+    made = packing.improve(bins, lengths, 2048)
+    assert made > 0 and start > least and least <= len(set(bins.tolist())) <= least + 1
+
+
+def test_tries_that_fail_end_soon():
+    began = time.perf_counter()
+    for lengths in (np.full(2000, 1025), np.random.default_rng(1).integers(700, 1100, 2000), np.random.default_rng(2).integers(500, 700, 2000)):
+        packing.improve(packing.first_fit(lengths, 2048), lengths, 2048)
+    assert time.perf_counter() - began < 30
+
+
+def test_equal_rows_spread_over_groups(spark):
+    df = spark.createDataFrame([(1, 700)] * 6000, "doc_id long, length long")
+    rows = packing.pack(df, 2048, group=500).collect()
+    fill, groups = {}, {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + 1
+        groups[r.sequence_id >> 24] = groups.get(r.sequence_id >> 24, 0) + 1
+    assert len(rows) == 6000 and set(fill.values()) <= {1, 2} and sum(v == 1 for v in fill.values()) <= 1
+    first = [n for g, n in groups.items() if g >> 34 == 0]
+    assert len(first) == 12 and max(first) < 2 * min(first)
+
+
+def test_tiny_pieces_over_levels(spark):
+    df = spark.range(9000).selectExpr("id AS doc_id", "1L AS length", "id AS sequence_id")
+    rows = packing.pack(df, 64, group=100, carried=2).collect()
+    assert len(rows) == 9000 and len({r.sequence_id for r in rows}) <= -(-9000 // 64) + 1
