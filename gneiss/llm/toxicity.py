@@ -6,9 +6,11 @@ whole corpus.  Words whose presence depends on the label among the examples (chi
 `terms`) weigh more: a vector is the unit TF-IDF vector of all words beside the unit vector of these
 words alone, LABEL_SHARE of the square of the norm in the latter (none where a text has none of them),
 so that a cosine is 1 exactly where both agree.  A word of no example would only scale all cosines of
-a text alike and is left out.  Examples lie in an inverted index of blocks with each term's largest
-weight per block; a query visits the blocks of the highest bounds and then only those that can still
-reach the k-th best cosine, so its neighbours are exact (ties: the smaller example number).  Votes
+a text alike and is left out.  Examples lie in an inverted index, alike ones next to each other, in
+blocks with each frequent term's largest weight per block; a frequent term's postings of a block are
+kept as a row of weights.  Queries read the postings of their rarer terms, and then those of the
+frequent terms in the blocks that can still reach the k-th best cosine, and in no others; all sums
+are of double precision, so their neighbours are exact Votes
 weighted by similarity, corrected for the classes' sampling rates, give a raw score that isotonic
 regression on leave-one-out scores turns into a probability.
 
@@ -19,8 +21,8 @@ labels of an id count as toxic; repeated rows and other columns have no effect o
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,89 +32,154 @@ from pyspark.sql import functions as F
 from gneiss.llm.base import pick, slices, strings
 from gneiss.llm.words import word_hashes
 
-BLOCK = 512
-FIRST = 2  # blocks visited before the first bound on the k-th best
+BLOCK = 64
+FREQUENT = 0.06  # a term of more than this part of the examples has bounds
+QUERIES = 64  # handled together
+SLACK = 1e-6  # on bounds, which are of single precision
 LABEL_SHARE = 0.8  # of a vector's square, in the words that depend on the label
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct words and their counts, for each text."""
-    words, offset = word_hashes(texts)
-    return [np.unique(words[a:b], return_counts=True) for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)]
+def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places begin[i], begin[i] + 1, ... (size[i] of them) one after another, and size."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size), size
+
+
+def _arranged(offset: np.ndarray, rows: np.ndarray, lines: int, words: int, kinds: int = 8, leading: int = 300) -> np.ndarray:
+    """An order in which alike vectors are close: those with rows from `words` on first, then by
+    kind (means of the most frequent rows' directions, as a few rounds of k-means find them), then by
+    the number of terms."""
+    n, size = len(offset) - 1, np.diff(offset)
+    owner = np.repeat(np.arange(n), size)
+    told = np.bincount(owner, weights=rows >= words, minlength=n) == 0
+    often = np.argsort(-np.bincount(rows, minlength=lines), kind="stable")[:leading]
+    column = np.full(lines, -1)
+    column[often] = np.arange(len(often))
+    own = column[rows]
+    has = np.zeros((n, len(often)))
+    has[owner[own >= 0], own[own >= 0]] = 1
+    has /= np.maximum(np.linalg.norm(has, axis=1, keepdims=True), 1e-9)
+    centre = has[np.linspace(0, n - 1, kinds).astype(int)] if n else has
+    kind = np.zeros(n, np.int64)
+    for _ in range(10 if n else 0):
+        kind = np.argmax(np.round(has @ centre.T, 9), axis=1)
+        centre = np.stack([has[kind == c].mean(axis=0) if (kind == c).any() else centre[c] for c in range(len(centre))])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((np.arange(n), size, kind, told))
 
 
 @dataclass
 class Index:
     terms: np.ndarray  # sorted word hashes
     idf: np.ndarray
-    pointer: np.ndarray  # rows (terms, then those of `label`) x (blocks + 1): where a block's postings of a term begin
-    posting: np.ndarray  # example places
-    weight: np.ndarray
-    bound: np.ndarray  # rows x blocks: the largest weight
-    example: np.ndarray  # ids by place
-    toxic: np.ndarray  # by place
-    vote: np.ndarray  # inverse sampling rate by place
-    prior: float
-    empty: float  # score without any term
-    steps: np.ndarray  # isotonic calibration
-    values: np.ndarray
     k: int = 16
     label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted places in terms of the words that depend on the label
+    prior: float = 0.0
+    empty: float = 0.0  # score without any term
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(0))  # isotonic calibration
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ids by place
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by place
+    vote: np.ndarray = field(default_factory=lambda: np.zeros(0))  # inverse sampling rate by place
 
-    def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and weights of a text's unit vector."""
+    def bags(self, words: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and count of every distinct known word of texts."""
         if not len(self.terms) or not len(words):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        here = self.terms[at] == words
-        at = at[here]
-        w = (1 + np.log(counts[here])) * self.idf[at]
-        row = np.minimum(np.searchsorted(self.label, at), max(0, len(self.label) - 1))
-        own = self.label[row] == at if len(self.label) else np.zeros(len(at), bool)
-        parts = [(at, w), (row[own] + len(self.terms), w[own])] if own.any() else [(at, w)]
-        shares = [1 - LABEL_SHARE, LABEL_SHARE] if own.any() else [1.0]
-        return np.concatenate([r for r, _ in parts]), np.concatenate([v * math.sqrt(share / ((v @ v) or 1)) for (_, v), share in zip(parts, shares, strict=True)])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term."""
-        if not len(terms) or not len(self.example):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.bound[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        pointer = self.pointer[terms]
-        places, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
-        while at < len(order):
-            if at == 0:
-                to = min(FIRST, len(order))
-            else:  # all blocks that can still reach the k-th best, and no others
-                need = cosines[-1] - 1e-9 if len(cosines) == self.k else 0.0
-                to = at + int(np.count_nonzero(bound[order[at:]] >= need))
-                if to == at:
-                    break
-            begin = pointer[:, order[at:to]].ravel()
-            size = pointer[:, order[at:to] + 1].ravel() - begin
-            here = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-            score = np.bincount(self.posting[here], weights=self.weight[here] * np.repeat(np.repeat(weights, to - at), size), minlength=1)
-            found = np.flatnonzero(score)
-            found = found[found != skip]
-            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, score[found]])
-            if len(cosines) > self.k:
-                near = cosines >= np.partition(cosines, -self.k)[-self.k] - 2e-9
-                places, cosines = places[near], cosines[near]
-            top = np.lexsort((places, -np.round(cosines, 9)))[: self.k]
-            places, cosines = places[top], cosines[top]
-            if at:
-                break
-            at = to
-        return places, np.minimum(cosines, 1.0)
-
-    def raw(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        w = cosines**2 * self.vote[places]
-        return float((w @ self.toxic[places] + 0.5 * self.prior) / (w.sum() + 0.5))
-
-    def score(self, raw: float) -> float:
-        return float(np.interp(raw, self.steps, self.values)) if len(self.steps) else raw
+        hit = np.flatnonzero(self.terms[at] == words)
+        text = np.searchsorted(offset, hit, side="right") - 1
+        code, count = np.unique(text * len(self.terms) + at[hit], return_counts=True)
+        return code // len(self.terms), code % len(self.terms), count
+
+    def vectors(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of n texts: offsets of each, rows (terms, then those of `label`) and weights."""
+        w = (1 + np.log(count)) * self.idf[term]
+        row = np.minimum(np.searchsorted(self.label, term), max(0, len(self.label) - 1))
+        own = self.label[row] == term if len(self.label) else np.zeros(len(term), bool)
+        whole = np.bincount(text, weights=w * w, minlength=n)
+        part = np.bincount(text[own], weights=w[own] ** 2, minlength=n)
+        one = np.sqrt(np.where(part > 0, 1 - LABEL_SHARE, 1.0) / np.where(whole > 0, whole, 1))
+        two = np.sqrt(LABEL_SHARE / np.where(part > 0, part, 1))
+        text = np.concatenate([text, text[own]])
+        order = np.argsort(text, kind="stable")
+        rows = np.concatenate([term, row[own] + len(self.terms)])[order]
+        weights = np.concatenate([w * one[text[: len(w)]], w[own] * two[text[len(w) :]]])[order]
+        return np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]), rows, weights
+
+    def build(self, offset: np.ndarray, rows: np.ndarray, weights: np.ndarray, lines: int) -> None:
+        """The index of unit vectors in the order of places, over rows 0 to lines - 1."""
+        n = len(offset) - 1
+        blocks = max(1, -(-n // BLOCK))
+        place = np.repeat(np.arange(n), np.diff(offset))
+        size = np.bincount(rows, minlength=lines)
+        common = np.flatnonzero(size > max(2, FREQUENT * n))
+        self.slot = np.full(lines, -1, np.int32)  # of a frequent row
+        self.slot[common] = np.arange(len(common))
+        often = self.slot[rows] >= 0
+        self.dense = np.zeros((blocks, len(common), BLOCK))
+        self.dense[place[often] // BLOCK, self.slot[rows[often]], place[often] % BLOCK] = weights[often]
+        self.bound = np.ascontiguousarray(self.dense.max(axis=2).T.astype(np.float32))
+        by = np.argsort(rows[~often], kind="stable")  # places rise within a row
+        self.posting, self.weight = place[~often][by].astype(np.int32), weights[~often][by]
+        self.pointer = np.concatenate([[0], np.cumsum(np.bincount(rows[~often], minlength=lines))])
+
+    def nearest(self, offset: np.ndarray, rows: np.ndarray, weights: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place and cosine of the k nearest examples that share a term with each of the queries
+        (vectors as from `vectors`), the nearest first; skip: a place that is left out, for each."""
+        out = []
+        for a in range(0, len(offset) - 1, QUERIES):
+            some = offset[a : a + QUERIES + 1]
+            got = self._nearest(some - some[0], rows[some[0] : some[-1]], weights[some[0] : some[-1]], None if skip is None else skip[a : a + QUERIES])
+            out.append((got[0] + a, got[1], got[2]))
+        empty = np.zeros(0, np.int64)
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (empty, empty, np.zeros(0))
+
+    def _nearest(self, offset: np.ndarray, rows: np.ndarray, weights: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m, (blocks, frequent, _) = len(offset) - 1, self.dense.shape
+        query, slot = np.repeat(np.arange(m), np.diff(offset)), self.slot[rows]
+        rare = slot < 0
+        by = np.flatnonzero(rare)
+        by = by[np.argsort(rows[by], kind="stable")]  # a row's postings are read by all its queries at once
+        begin = self.pointer[rows[by]]
+        at, size = _ranges(begin, self.pointer[rows[by] + 1] - begin)
+        cell = np.repeat(query[by] * (blocks * BLOCK), size) + self.posting[at]
+        score = np.zeros(m * blocks * BLOCK)
+        if len(at):
+            score = np.bincount(cell, weights=self.weight[at] * np.repeat(weights[by], size), minlength=len(score))
+        score = score.reshape(m, blocks, BLOCK)
+        if skip is not None:
+            score[np.arange(m), skip // BLOCK, skip % BLOCK] = -4.0  # below any cosine
+        # the k-th best block is a lower bound of the k-th best cosine: no other block can matter
+        ask = np.zeros((m, frequent))
+        ask[query[~rare], slot[~rare]] = weights[~rare]
+        top = score.max(axis=2)
+        alive = top + ask.astype(np.float32) @ self.bound >= self._kth(top)[:, None] - SLACK
+        for b in np.flatnonzero(alive.any(axis=0)).tolist():
+            some = np.flatnonzero(alive[:, b])
+            score[some, b] += ask[some] @ self.dense[b]
+        score = np.round(score, 9)
+        least = np.maximum(self._kth(score.max(axis=2)), 1e-9)
+        query, block, place = np.nonzero(score >= least[:, None, None])
+        cosine = score[query, block, place]
+        place += block * BLOCK
+        order = np.lexsort((place, -cosine, query))
+        query, place, cosine = query[order], place[order], cosine[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        best = nth < self.k
+        return query[best], place[best], np.minimum(cosine[best], 1.0)
+
+    def _kth(self, top: np.ndarray) -> np.ndarray:
+        """The k-th largest of each row, 0 where there are fewer."""
+        return np.maximum(np.partition(top, -self.k, axis=1)[:, -self.k], 0.0) if top.shape[1] >= self.k else np.zeros(len(top))
+
+    def raw(self, n: int, query: np.ndarray, place: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Votes of the neighbours of n queries, shrunk towards the share of toxic examples."""
+        w = cosine**2 * self.vote[place]
+        return (np.bincount(query, weights=w * self.toxic[place], minlength=n) + 0.5 * self.prior) / (np.bincount(query, weights=w, minlength=n) + 0.5)
+
+    def score(self, raw: np.ndarray) -> np.ndarray:
+        return np.interp(raw, self.steps, self.values) if len(self.steps) else raw
 
 
 def fit(
@@ -142,7 +209,8 @@ def fit(
 
     def bags(batches):
         for batch in slices(batches, "text"):
-            got = _bags(strings(batch, "text"))
+            words, offset = word_hashes(strings(batch, "text"))
+            got = [np.unique(words[a:b], return_counts=True) for a, b in pairwise(offset.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([w.tobytes() for w, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "toxic", "words", "counts"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -190,36 +258,26 @@ def fit(
     frequency[df_rows.column("term").to_numpy()] = df_rows.column("n").to_numpy()
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
-    index = Index(word, idf, *[np.zeros(0)] * 7, 0.0, 0.0, np.zeros(0), np.zeros(0), label=np.sort(kept))
-    vectors = [index.vector(w, c) for w, c in docs]
+    index = Index(word, idf, label=np.sort(kept))
     vote = np.where(toxic == 1, 1 / rate[1], 1 / rate[0]) if n else np.zeros(0)
     index.prior = float(vote @ toxic / vote.sum()) if n else 0.0
-    bare = np.array([not len(t) for t, _ in vectors], dtype=bool)
+    text = np.repeat(np.arange(n), [len(w) for w, _ in docs]) if n else np.zeros(0, np.int64)
+    bare = np.bincount(text, minlength=n) == 0
     index.empty = float((vote[bare] @ toxic[bare] + index.prior) / (vote[bare].sum() + 1)) if n else 0.0
-    # neighbours in the order of the index are alike: by heaviest term
-    order = [i for i in range(n) if not bare[i]]
-    order.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-    blocks = -(-len(order) // BLOCK)
-    index.example = np.array([got.column("doc_id")[i].as_py() for i in order])
+    term = np.searchsorted(word, np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in docs)]))
+    offset, rows_, weights = index.vectors(text, term, np.concatenate([np.zeros(0), *(c for _, c in docs)]), n)
+    lines = len(word) + len(kept)
+    order = _arranged(offset, rows_, lines, len(word))
+    order = order[~bare[order]]
+    at, size = _ranges(offset[order], np.diff(offset)[order])
+    offset, rows_, weights = np.concatenate([[0], np.cumsum(size)]), rows_[at], weights[at]
+    ids = got.column("doc_id").to_pylist()
+    index.example = np.array([ids[i] for i in order])
     index.toxic, index.vote = toxic[order].astype(float), vote[order]
-    t = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-    w = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-    p = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, np.int64)
-    by = np.argsort(t, kind="stable")  # places rise within a term
-    t, w, p = t[by], w[by], p[by]
-    index.posting, index.weight = p.astype(np.int32), w
-    cell, lines = t * blocks + p // BLOCK, len(word) + len(kept)
-    index.bound = np.zeros((lines, blocks), np.float32)
-    above = w.astype(np.float32)
-    np.maximum.at(index.bound.reshape(-1), cell, np.where(above < w, np.nextafter(above, np.float32(2)), above))
-    edges = np.searchsorted(cell, np.arange(lines * blocks + 1)).astype(np.int32)
-    index.pointer = np.zeros((lines, blocks + 1), np.int32)
-    if blocks:
-        index.pointer[:, :-1], index.pointer[:, -1] = edges[:-1].reshape(lines, blocks), edges[blocks::blocks]
+    index.build(offset, rows_, weights, lines)
     # calibration: leave-one-out scores of the examples themselves
-    if order:
-        raw = np.array([index.raw(*index.nearest(*vectors[i], skip=k)) for k, i in enumerate(order)])
-        index.steps, index.values = isotonic(raw, index.toxic, index.vote)
+    if len(order):
+        index.steps, index.values = isotonic(index.raw(len(order), *index.nearest(offset, rows_, weights, np.arange(len(order)))), index.toxic, index.vote)
     return index
 
 
@@ -235,42 +293,27 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.clip([p[0] / p[1] for p in pools], 0.0, 1.0)
 
 
-def score(df: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, score (the probability of label 1) and evidence (nearest examples: id, similarity, toxic)."""
+def score(df: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text", evidence: bool = True) -> DataFrame:
+    """doc_id, score (the probability of label 1) and, unless evidence is False, the nearest examples
+    (id, similarity, toxic)."""
     rows = pick(df, doc_id=id_column, text=text_column)
     shared = df.sparkSession.sparkContext.broadcast(index)  # bounded by the words of `examples` texts
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         ix = shared.value
-        seen: dict[bytes, tuple] = {}
         for batch in slices(batches, "text"):
-            words, offset = word_hashes(strings(batch, "text"))
             n = batch.num_rows
-            at = np.minimum(np.searchsorted(ix.terms, words), max(0, len(ix.terms) - 1))
-            hit = np.flatnonzero(ix.terms[at] == words) if len(ix.terms) and len(words) else np.zeros(0, np.int64)
-            bounds = np.searchsorted(hit, offset)
-            scores, ids, similar, label, ends = [], [], [], [], [0]
-            for i in range(n):
-                mine = words[hit[bounds[i] : bounds[i + 1]]]
-                if len(mine):
-                    bag = np.unique(mine, return_counts=True)
-                    key = bag[0].tobytes() + bag[1].tobytes()
-                    if key not in seen:
-                        places, cosines = ix.nearest(*ix.vector(*bag))
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[key] = (ix.score(ix.raw(places, cosines)), ix.example[places].tolist(), cosines.tolist(), ix.toxic[places].astype(int).tolist())
-                    s, e, c, y = seen[key]
-                else:
-                    s, e, c, y = ix.empty, [], [], []
-                scores.append(s)
-                ids += e
-                similar += c
-                label += y
-                ends.append(len(ids))
-            id_type = batch.schema.field("doc_id").type
-            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(ids, id_type), pa.array(similar, pa.float64()), pa.array(label, pa.int32())], names=["example", "similarity", "toxic"]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), evidence], names=["doc_id", "score", "evidence"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<example:{kind},similarity:double,toxic:int>>")
+            bags = ix.bags(*word_hashes(strings(batch, "text")))
+            near = ix.nearest(*ix.vectors(*bags, n)) if len(ix.example) else (np.zeros(0, np.int64),) * 3
+            known = np.bincount(bags[0], minlength=n) > 0
+            scores = np.where(known, ix.score(ix.raw(n, *near)), ix.empty) if len(ix.example) else np.full(n, ix.empty)
+            columns, names = [batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"]
+            if evidence:
+                parts = [pa.array(ix.example[near[1]].tolist(), batch.schema.field("doc_id").type), pa.array(near[2], pa.float64()), pa.array(ix.toxic[near[1]].astype(np.int32))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(near[0], minlength=n))]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["example", "similarity", "toxic"])))
+                names.append("evidence")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, f"doc_id {kind}, score double" + f", evidence array<struct<example:{kind},similarity:double,toxic:int>>" * evidence)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from gneiss.llm import langid, licenses, queries, toxicity
 from tests.llm import cases
@@ -70,33 +71,31 @@ def test_toxicity_on_planted_words(spark, tmp_path):
     assert got[2000].predicted == got[2001].predicted == 0 and got[2002].score == got[0].score
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("v, longest", [(60, 9), (2000, 200), (400, 60)])
+def test_nearest_examples_are_exact(v, longest):
     rng = np.random.default_rng(1)
-    n, v = 700, 60
+    n = 700
     vectors = []
     for _ in range(n):
-        t = np.unique(rng.integers(0, v, rng.integers(1, 9)))
+        t = np.unique((v * rng.random(rng.integers(1, longest)) ** 3).astype(int))
         w = rng.random(len(t)) + 0.1
         vectors.append((t, w / math.sqrt(w @ w)))
-    blocks = -(-n // toxicity.BLOCK)
-    bound, postings = np.zeros((v, blocks)), [[] for _ in range(v * blocks)]
-    for i, (t, w) in enumerate(vectors):
-        for a, b in zip(t, w, strict=True):
-            bound[a, i // toxicity.BLOCK] = max(bound[a, i // toxicity.BLOCK], b)
-            postings[a * blocks + i // toxicity.BLOCK].append((i, b))
-    edge = np.concatenate([[0], np.cumsum([len(p) for p in postings])])
-    flat = [x for p in postings for x in p]
-    index = toxicity.Index(np.zeros(0), np.zeros(0), np.stack([edge[i * blocks : i * blocks + blocks + 1] for i in range(v)]), np.array([i for i, _ in flat]), np.array([w for _, w in flat]), bound, np.arange(n), np.zeros(n), np.ones(n), 0.0, 0.0, np.zeros(0), np.zeros(0))
+    index = toxicity.Index(np.zeros(0), np.zeros(0), example=np.arange(n))
+    offset = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])])
+    rows, weights = (np.concatenate(x) for x in zip(*vectors, strict=True))
+    index.build(offset, rows, weights, v)
     dense = np.zeros((n, v))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for t, w in vectors[:200]:
-        q = np.zeros(v)
-        q[t] = w
-        all_cosines = dense @ q
-        places, cosines = index.nearest(t, w)
-        best = np.sort(all_cosines)[::-1][: len(places)]
-        assert np.allclose(cosines, best) and np.allclose(all_cosines[places], cosines)
+    for skip in (None, np.arange(300) % n):
+        query, place, cosine = index.nearest(offset[:301], rows, weights, skip)
+        for q in range(300):
+            exact = np.round(dense @ dense[q], 9)
+            if skip is not None:
+                exact[skip[q]] = 0
+            best = np.lexsort((np.arange(n), -exact))[: min(index.k, np.count_nonzero(exact > 0))]
+            assert place[query == q].tolist() == best.tolist()
+            assert np.allclose(cosine[query == q], np.minimum(exact[best], 1))
 
 
 def test_all_words_and_all_examples_are_searched(spark):
@@ -114,8 +113,20 @@ def test_all_words_and_all_examples_are_searched(spark):
     count = np.array([[t.split().count(w) for w in words] for t in texts])
     dense = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * idf
     dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
-    for r in toxicity.score(docs, index).collect():
+    weights = np.array([int(e % 5 == 0) for e in range(120)])
+    rows = toxicity.score(docs, index).collect()
+    # votes, calibration and score by their definitions
+    def raw(cosines):
+        best = np.lexsort((np.arange(120), -np.round(cosines, 9)))[: index.k]
+        w = np.minimum(np.round(cosines[best], 9), 1) ** 2
+        return (w @ weights[best] + 0.5 * weights.mean()) / (w.sum() + 0.5)
+
+    alone = dense[:120] @ dense[:120].T
+    np.fill_diagonal(alone, 0)
+    steps, values = toxicity.isotonic(np.array([raw(c) for c in alone]), weights.astype(float), np.ones(120))
+    for r in rows:
         cosines = dense[:120] @ dense[r.doc_id]
+        assert abs(r.score - np.interp(raw(cosines), steps, values)) < 1e-6
         assert np.allclose([e.similarity for e in r.evidence], np.sort(cosines)[::-1][: index.k])
         assert np.allclose([e.similarity for e in r.evidence], cosines[[e.example for e in r.evidence]])
         assert r.evidence[0].example == r.doc_id % 120 and abs(r.evidence[0].similarity - 1) < 1e-9
