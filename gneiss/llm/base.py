@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -15,7 +16,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised scans; one longer text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch sent to a Python worker, for sessions that keep Spark's default of 10000: a
+#: batch is bounded in rows only, and rows are whole texts.
+BATCH_ROWS = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _return_large_arrays() -> None:
+    """Workers are kept between tasks: arrays of a megabyte and more go back to the system at once
+    when they are freed, instead of staying in the heap (glibc only)."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+    except (OSError, AttributeError):
+        pass
+
+
+_return_large_arrays()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -45,7 +62,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names: other columns of df, whatever they are called,
-    cannot clash with what an operator adds."""
+    cannot clash with what an operator adds.  Sees to it that the session bounds its Arrow batches."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == "10000":
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 

@@ -11,7 +11,7 @@ import json
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -141,15 +141,21 @@ class MergeEncoder:
     """Encodes many words at once: a matrix of symbols, the lowest-ranked pair of each row merged per round."""
 
     LONGEST = 64
+    SYMBOLS = 200_000  # of a matrix
 
     def __init__(self, v: Vocabulary):
-        from tokenizers import Tokenizer
-
-        self.v, self.library = v, Tokenizer.from_file(v.path)
+        self.v = v
         pair = np.array([(a * v.size + b, r, t) for (a, b), (r, t) in v.merges.items()], dtype=np.int64).reshape(-1, 3)
         pair = pair[np.argsort(pair[:, 0])]
         self.keys, self.ranks, self.made = (np.ascontiguousarray(pair[:, i]) for i in range(3))
 
+    @cached_property
+    def library(self):
+        """For words beyond LONGEST; loaded when the first is met."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.v.path)
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = np.where((a < 0) | (b < 0), -1, a * self.v.size + b)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -165,9 +171,11 @@ class MergeEncoder:
                 for i in group:
                     out[i] = np.array(self.library.encode(words[i], add_special_tokens=False).ids, dtype=np.int32)
                 continue
-            block = np.frombuffer(b"".join(raw[i] for i in group), np.uint8).reshape(len(group), n)
-            for i, ids in zip(group, self._rows(block), strict=True):
-                out[i] = ids
+            step = max(1, self.SYMBOLS // n)
+            for some in (group[a : a + step] for a in range(0, len(group), step)):
+                block = np.frombuffer(b"".join(raw[i] for i in some), np.uint8).reshape(len(some), n)
+                for i, ids in zip(some, self._rows(block), strict=True):
+                    out[i] = ids
         return out
 
     def _rows(self, block: np.ndarray) -> list[np.ndarray]:
@@ -223,7 +231,6 @@ class BacktrackingEncoder:
         self.parts = {t: (rank, pair) for pair, (rank, t) in v.merges.items()}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.table: dict[int, bool] = {}  # the pair-compatibility table, filled as pairs are met
-        self.single = {t: i for t, i in texts.items()}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that hold this edge of the token while it is built: (token, rank that made it)."""
@@ -258,7 +265,7 @@ class BacktrackingEncoder:
                 i += 1
             else:
                 j += 1
-        if len(self.table) > 4_000_000:
+        if len(self.table) > 500_000:
             self.table.clear()
         self.table[key] = fits
         return fits
@@ -299,7 +306,7 @@ class BacktrackingEncoder:
 class TextEncoder:
     """Encodes slices of texts; keeps the ids of up to `keep` words (then starts anew)."""
 
-    def __init__(self, v: Vocabulary, words, spaced: bool, normalise=None, keep: int = 1_500_000):
+    def __init__(self, v: Vocabulary, words, spaced: bool, normalise=None, keep: int = 150_000):
         self.v, self.words, self.spaced, self.normalise, self.keep = v, words, spaced, normalise, keep
         self._forget()
 
@@ -325,7 +332,7 @@ class TextEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another, and the len(texts) + 1 offsets of each text's ids."""
-        if self.v.split_special and any("<|" in t and self.v.split_special.search(t) for t in texts):
+        if self.v.split_special and any(self.v.split_special.search(t) for t in texts):
             return self._with_special(texts)
         if self.normalise:
             texts = [self.normalise(t) for t in texts]
@@ -358,7 +365,7 @@ class TextEncoder:
     def _with_special(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, owner, fixed = [], [], []
         for i, t in enumerate(texts):
-            for p in self.v.split_special.split(t) if "<|" in t else [t]:
+            for p in self.v.split_special.split(t):
                 special = self.v.special.get(p, -1)
                 parts.append("" if special >= 0 else p)
                 owner.append(i)
