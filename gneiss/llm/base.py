@@ -41,6 +41,8 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     there = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="gneiss-")
         atexit.register(shutil.rmtree, there, ignore_errors=True)
         sc.setCheckpointDir(f"file://{there}")
@@ -57,7 +59,18 @@ def durable(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what durable() wrote for these tables, which nothing reads any more."""
+    for table in tables:
+        path = table._written_to
+        jvm = table.sparkSession._jvm
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

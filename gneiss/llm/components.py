@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.base import durable
+from gneiss.llm.base import durable, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,13 +24,14 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(pair)
     while state[0]:
         both = pair.select(F.col("lo").alias("u"), F.least("hi", "lo").alias("v")).unionAll(pair.select("hi", "lo"))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")))
-        moved = pair.join(least, pair["lo"] == least["u"]).select("hi", F.col("m").alias("lo"))
+        least_low, old = durable(both.groupBy("u").agg(F.min("v").alias("m"))), pair
+        moved = pair.join(least_low, pair["lo"] == least_low["u"]).select("hi", F.col("m").alias("lo"))
         large = durable(moved.filter("hi <> lo").distinct())
         least = durable(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
         moved = large.join(least, large["hi"] == least["u"]).select("hi", "lo", "m")
         tied = moved.select("hi", F.col("m").alias("lo")).unionAll(moved.select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         pair = durable(tied.filter("hi <> lo").distinct())
+        release(least_low, large, least, old)
         before, state = state, _state(pair)
         if state == before:
             break

@@ -3,9 +3,13 @@
 A text is the set of its runs of five words (a shorter text: one run of all its words; no words: no
 set, linked with nothing).  Texts with equal sets are one class and only classes are compared.
 
-Candidates: each of TREES prefix tries orders the classes by its own sequence of min-hashes; classes
-under the same prefix are candidates.  The prefix starts at LONGEST values and is shortened until
-pairs at the threshold are found with the target recall.  Under a prefix, classes whose whole
+Candidates: each of TREES prefix tries orders the classes by its own sequence of LONGEST min-hashes;
+the leaves that share a prefix of the least useful length (at which pairs at the threshold are found
+with the target recall, by formula) are kept, sorted by tree and sequence.  The walk starts at the
+longest prefixes and shortens them step by step: at each step classes under a node are compared,
+unless all of them share a longer prefix and have been compared before.  From the ties found so far,
+each weighed by the chance that such a pair is found at this depth, it estimates how many are still
+missing, and it stops as soon as the target recall is reached.  Under a prefix, classes whose whole
 sketches agree too little to reach the threshold are not joined; the remaining ties give groups in
 which every candidate pair lies.  Groups and prefixes of any size are cut into blocks, one task a
 pair of blocks, so nothing is capped and no task grows with a group.
@@ -25,10 +29,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.base import durable, pick, slices, splitmix, strings
+from gneiss.llm.base import durable, pick, release, slices, splitmix, strings
 from gneiss.llm.components import connected
 from gneiss.llm.groups import block_pairs, each_group, gathered
 from gneiss.llm.words import shingle_hashes, word_hashes
@@ -36,8 +40,10 @@ from gneiss.llm.words import shingle_hashes, word_hashes
 TREES = 24
 LONGEST = 8
 TARGET_RECALL = 0.99999
-SKETCH = 96  # min-hashes, a byte of each in the sketch
-BROADCAST_ROWS = 1_000_000  # of 40 bytes each, where members are sent to the readers of the texts
+SKETCH = 96  # min-hashes, two bytes of each in the sketch
+STEP = SKETCH // TREES  # a tree's sequence begins so many min-hashes behind that of the tree before
+UNSEEN = 3  # pairs at the threshold that may exist besides those found, in the estimate of the recall
+BROADCAST_BYTES = 48_000_000  # of members, where they are sent to the readers of the texts
 
 
 def recall(threshold: float, depth: int, trees: int = TREES) -> float:
@@ -53,12 +59,27 @@ def prefix_depth(threshold: float, target: float = TARGET_RECALL, trees: int = T
     return depth
 
 
+def depths(threshold: float) -> list[int]:
+    """The lengths of prefixes that the walk visits, down to the least useful one."""
+    least = prefix_depth(threshold)
+    return sorted({LONGEST, *range(least, max(least, LONGEST - 2) + 1)}, reverse=True)
+
+
 def least_agreement(threshold: float) -> int:
-    """Sketch bytes that must agree: six standard deviations below what the threshold gives."""
-    p = threshold + (1 - threshold) / 256
+    """Min-hashes of the sketch that must agree: six standard deviations below what the threshold gives."""
+    p = threshold
     return max(1, int(SKETCH * p - 6 * (SKETCH * p * (1 - p)) ** 0.5))
 
 
+def estimated_recall(ties: DataFrame, threshold: float, depth: int) -> float:
+    """The share of similar pairs that prefixes of this depth find, from the ties (a, b, agree) found."""
+    alike = F.col("agree") / SKETCH
+    chance = 1 - F.pow(1 - F.pow(alike, F.lit(depth)), F.lit(TREES))
+    found, missing = ties.distinct().filter(alike >= threshold).agg(F.count("*"), F.sum(1 / chance - 1)).first()
+    missing = (missing or 0.0) + UNSEEN * (1 - recall(threshold, depth))
+    return found / (found + missing) if found else 0.0
+
+
 _SEEDS = splitmix(np.arange(1001, 1001 + 2 * SKETCH, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -80,75 +101,93 @@ def _class_of(shingles: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def _keys(signature: np.ndarray, depth: int) -> list[int]:
-    """The prefix of each tree: `depth` min-hashes from a place of its own."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(TREES, np.uint64)
-        step = SKETCH // TREES
-        for i in range(depth):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + signature[(np.arange(TREES) * step + i) % SKETCH].astype(np.uint64) + np.uint64(1)
-        return splitmix(total + (np.arange(TREES, dtype=np.uint64) << np.uint64(40))).view(np.int64).tolist()
-
-
-def fingerprints(df: DataFrame, id_column: str, text_column: str, words: int, threshold: float) -> DataFrame:
-    """doc_id, class (null without words), n (set size), sketch and the prefix keys of every text."""
+def fingerprints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
+    """doc_id, class (null without words) and sketch of every text: SKETCH min-hashes of two bytes each,
+    and the first ones again, so that each tree's sequence is a run of bytes of it."""
     rows = pick(df, doc_id=id_column, text=text_column)
-    depth = prefix_depth(threshold)
 
     def run(batches):
         for batch in slices(batches, "text"):
             hashes, offset = word_hashes(strings(batch, "text"))
-            names, sizes, sketches, keys = [], [], [], []
+            names, sketches = [], []
             for a, b in pairwise(offset.tolist()):
                 s = shingle_hashes(hashes[a:b], words)
-                sizes.append(len(s))
+                names.append(_class_of(s) if len(s) else None)
                 if not len(s):
-                    names.append(None)
                     sketches.append(None)
-                    keys.append(None)
                     continue
-                signature = _signature(s)
-                names.append(_class_of(s))
-                sketches.append((signature & np.uint32(255)).astype(np.uint8).tobytes())
-                keys.append(_keys(signature, depth))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "class", "n", "sketch", "keys"],
-            )
+                short = (_signature(s) & np.uint32(0xFFFF)).astype(">u2")
+                sketches.append(np.concatenate([short, short[: LONGEST - STEP]]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "class", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, class binary, n long, sketch binary, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, class binary, sketch binary")
 
 
 def _tie(agree: int):
-    """Ties (lo, hi) that connect, within each group, the classes whose sketches agree enough."""
+    """Ties (a, b, and how many min-hashes agree) that connect, within each group, the classes whose
+    sketches agree enough."""
 
     def handle(table: pa.Table) -> pa.RecordBatch:
         name = np.array(table.column("class").to_pylist(), dtype=object)
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), ">u2").reshape(len(name), -1)[:, :SKETCH].astype(np.uint16)
         group = np.stack([table.column(c).to_numpy() for c in ("key", "first", "second")])
         begin = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
         end = np.append(begin[1:], len(name))
-        a, b = [], []
+        a, b, same = [], [], []
         two = begin[end - begin == 2]
-        alike = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= agree]
-        a += name[alike].tolist()
-        b += name[alike + 1].tolist()
+        alike = (sketch[two] == sketch[two + 1]).sum(axis=1)
+        a += name[two[alike >= agree]].tolist()
+        b += name[two[alike >= agree] + 1].tolist()
+        same += alike[alike >= agree].tolist()
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
             left, queue = np.arange(s, e), []
             while len(left):  # breadth first: each class is held against those not reached yet
                 if not queue:
                     queue, left = [left[0]], left[1:]
                 here = queue.pop()
-                hit = (sketch[left] == sketch[here]).sum(axis=1) >= agree
+                alike = (sketch[left] == sketch[here]).sum(axis=1)
+                hit = alike >= agree
                 a += [name[here]] * int(hit.sum())
                 b += name[left[hit]].tolist()
+                same += alike[hit].tolist()
                 queue += left[hit].tolist()
                 left = left[~hit]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        swap = [x > y for x, y in zip(a, b, strict=True)]  # a pair found in several trees is one tie
+        a, b = [y if w else x for x, y, w in zip(a, b, swap, strict=True)], [x if w else y for x, y, w in zip(a, b, swap, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(same, pa.int32())], names=["a", "b", "agree"])
 
     return lambda batches: each_group(batches, "key", handle)
 
 
+def forest_ties(classes: DataFrame, threshold: float, block: int, target: float = TARGET_RECALL) -> tuple[DataFrame, int]:
+    """Ties between classes (class, sketch) by the walk through the prefix tries, and the depth at
+    which it stopped."""
+
+    def prefix(depth: int) -> Column:
+        return F.xxhash64("tree", F.col("label").substr(1, 2 * depth))
+
+    steps = depths(threshold)
+    leaf = F.expr(f"substring(sketch, tree * {2 * STEP} + 1, {2 * LONGEST})").alias("label")
+    leaves = classes.select("class", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("class", "tree", leaf).withColumn("root", prefix(steps[-1]))
+    crowded = durable(leaves.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1").select("root"))
+    forest = leaves.join(crowded, "root").drop("root").join(classes.select("class", "sketch"), "class")
+    forest = durable(forest.sortWithinPartitions("tree", "label"))
+    ties, used = None, [crowded]
+    for nth, depth in enumerate(steps):
+        child = prefix(steps[nth - 1]) if nth else F.xxhash64("class")
+        keyed = forest.withColumn("key", prefix(depth)).withColumn("child", child)
+        nodes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("child").alias("least"), F.max("child").alias("most"))
+        nodes = durable(nodes.filter("size > 1 AND least <> most").select("key", "size"))
+        tasks = gathered(block_pairs(keyed.join(nodes, "key"), "key", "class", F.col("size"), 2 * block).select("key", "first", "second", "class", "sketch"), "key")
+        found = durable(tasks.mapInArrow(_tie(least_agreement(threshold)), "a binary, b binary, agree int").distinct())
+        ties = found if ties is None else ties.unionAll(found)
+        used.append(nodes)
+        if depth == steps[-1] or estimated_recall(ties, threshold, depth) >= target:
+            break
+    release(forest, *used)
+    return ties, depth
+
+
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Exact intersection sizes of all pairs of two lists of sorted sets."""
     if len(x) * len(y) <= 16:
@@ -219,19 +258,10 @@ def _verify(threshold: float):
 
 def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, threshold: float = 0.8, block: int = 256) -> DataFrame:
     """doc_id, class_id, n_links and kept for every row of df."""
-    prints = durable(fingerprints(df, id_column, text_column, words, threshold))
-    classes = prints.filter("class IS NOT NULL").groupBy("class").agg(
-        F.count("*").alias("weight"), F.min("doc_id").alias("doc"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")
-    )
+    prints = durable(fingerprints(df, id_column, text_column, words))
+    classes = prints.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc"), F.any_value("sketch").alias("sketch"))
     classes = durable(classes)
-
-    # prefixes with more than one class below them
-    keyed = classes.select("class", F.explode("keys").alias("key"))
-    crowded = durable(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = durable(keyed.join(crowded, "key"))
-    sketched = members.join(classes.select("class", "sketch"), "class")
-    tasks = gathered(block_pairs(sketched, "key", "class", F.col("size"), 2 * block).select("key", "first", "second", "class", "sketch"), "key")
-    ties = tasks.mapInArrow(_tie(least_agreement(threshold)), "a binary, b binary").distinct()
+    ties, _ = forest_ties(classes, threshold, block)
     groups = durable(connected(ties, "a", "b").select(F.col("node").alias("class"), F.xxhash64("component").alias("comp")))
 
     # the sets of all classes in groups, taken again from the texts of one document each
@@ -240,7 +270,8 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wo
     rows = pick(df, doc=id_column, text=text_column)
     needed = wanted.select("doc", "class", "comp", "size", "weight")
     lacking = needed.filter("doc IS NULL").drop("doc")
-    if needed.count() <= BROADCAST_ROWS:
+    told = needed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("doc").cast("string"))), F.lit(0))).first()
+    if told[0] * 48 + told[1] <= BROADCAST_BYTES:
         needed, lacking = F.broadcast(needed), F.broadcast(lacking)
     texts = rows.join(needed, "doc")
 
@@ -275,7 +306,9 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wo
     about = classes.select("class", "weight", "doc").join(links, "class", "left").join(root.select(F.col("node").alias("class"), "component"), "class", "left")
     about = durable(about.select("class", "weight", "doc", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class").alias("component")))
     smallest = durable(about.groupBy("component").agg(F.min("doc").alias("class_id")))
-    about = durable(about.join(smallest, "component").select("class", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links")))
+    placed = durable(about.join(smallest, "component").select("class", "component", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links")))
+    release(classes, groups, size, wanted, checked, links, root, about, smallest)
+    about = placed
     out = prints.select("doc_id", "class").join(about, "class", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from gneiss.llm import components, jaccard, neardup, queries
+from gneiss.llm.base import durable
 from tests.llm import cases
 
 
@@ -85,6 +86,27 @@ def test_prefix_depth_meets_the_target():
     assert jaccard.recall(0.8, depth) >= jaccard.TARGET_RECALL > jaccard.recall(0.8, depth + 1)
 
 
+def forest(spark, data, target):
+    prints = jaccard.fingerprints(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"), "doc_id", "text", 5)
+    name = {r.doc_id: bytes(r["class"]) for r in prints.collect()}
+    ties, depth = jaccard.forest_ties(durable(prints.select("class", "sketch").distinct()), 0.8, 256, target)
+    return name, {frozenset((bytes(r.a), bytes(r.b))) for r in ties.collect()}, depth
+
+
+def test_forest_shortens_prefixes_only_as_far_as_needed(spark):
+    rng = random.Random(31)
+    base = [cases.prose(rng, 250) for _ in range(60)]
+    close = base + [t + " one more" for t in base]
+    name, ties, depth = forest(spark, close, 0.999)
+    assert depth == jaccard.LONGEST and all(frozenset((name[i], name[60 + i])) in ties for i in range(60))
+    loose = base + [cases.edited(rng, t, 5) for t in base]  # similarity near 0.82
+    name, ties, depth = forest(spark, loose, 0.999)
+    assert depth < jaccard.LONGEST
+    near = [i for i in range(60) if len(shingles(base[i]) & shingles(loose[60 + i])) >= 0.8 * len(shingles(base[i]) | shingles(loose[60 + i]))]
+    assert len(near) > 20 and all(frozenset((name[i], name[60 + i])) in ties for i in near)
+    assert jaccard.depths(0.8)[-1] == jaccard.prefix_depth(0.8) and jaccard.depths(0.8)[0] == jaccard.LONGEST
+
+
 def test_overlaps_by_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (0, 1, 30, 200, 400, 7, 90)]
