@@ -24,10 +24,10 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _return_large_arrays() -> None:
-    """Workers are kept between tasks: arrays of a megabyte and more go back to the system at once
+    """Workers are kept between tasks: arrays of eight megabytes and more go back to the system at once
     when they are freed, instead of staying in the heap (glibc only)."""
     try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+        ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, fixed
     except (OSError, AttributeError):
         pass
 

@@ -12,6 +12,7 @@ import re
 import sys
 import unicodedata
 from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -140,7 +141,7 @@ def pretokens(points: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, sp
 class MergeEncoder:
     """Encodes many words at once: a matrix of symbols, the lowest-ranked pair of each row merged per round."""
 
-    LONGEST = 64
+    WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64)  # of matrices; words of more bytes go to the library
     SYMBOLS = 200_000  # of a matrix
 
     def __init__(self, v: Vocabulary):
@@ -151,7 +152,7 @@ class MergeEncoder:
 
     @cached_property
     def library(self):
-        """For words beyond LONGEST; loaded when the first is met."""
+        """For words beyond all widths; loaded when the first is met."""
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.v.path)
@@ -165,23 +166,23 @@ class MergeEncoder:
         raw = [w.encode() for w in words]
         out: list = [None] * len(raw)
         length = np.fromiter(map(len, raw), np.int64, len(raw))
-        for n in np.unique(length):
-            group = np.flatnonzero(length == n)
-            if n > self.LONGEST:
-                for i in group:
-                    out[i] = np.array(self.library.encode(words[i], add_special_tokens=False).ids, dtype=np.int32)
-                continue
-            step = max(1, self.SYMBOLS // n)
+        for i in np.flatnonzero(length > self.WIDTHS[-1]):
+            out[i] = np.array(self.library.encode(words[i], add_special_tokens=False).ids, dtype=np.int32)
+        for low, width in pairwise((-1, *self.WIDTHS)):
+            group = np.flatnonzero((length > low) & (length <= width))
+            step = max(1, self.SYMBOLS // width)
             for some in (group[a : a + step] for a in range(0, len(group), step)):
-                block = np.frombuffer(b"".join(raw[i] for i in some), np.uint8).reshape(len(some), n)
-                for i, ids in zip(some, self._rows(block), strict=True):
+                block = np.zeros((len(some), width), np.uint8)
+                block[np.arange(width)[None, :] < length[some, None]] = np.frombuffer(b"".join(raw[i] for i in some), np.uint8)
+                for i, ids in zip(some, self._rows(block, length[some]), strict=True):
                     out[i] = ids
         return out
 
-    def _rows(self, block: np.ndarray) -> list[np.ndarray]:
+    def _rows(self, block: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
         n, width = block.shape
-        symbols = np.concatenate([self.v.first[block[:, :-1]], self.v.last[block[:, -1:]]], axis=1)
-        length = np.full(n, width)
+        index = np.arange(width)[None, :]
+        symbols = np.where(index < length[:, None] - 1, self.v.first[block], np.where(index == length[:, None] - 1, self.v.last[block], -1))
+        length = length.copy()
         # entries of the pair table, in the order of ranks
         order = np.append(self.ranks, NEVER)
         found = self.rank(symbols[:, :-1], symbols[:, 1:]) if width > 1 else np.zeros((n, 0), np.int64)
@@ -196,7 +197,6 @@ class MergeEncoder:
                 break
             s, f = symbols[rows], found[rows]
             s[np.arange(len(rows)), at] = self.made[f[np.arange(len(rows)), at]]
-            index = np.arange(width)[None, :]
             shift = np.minimum(index + (index > at[:, None]), width - 1)
             s = np.take_along_axis(s, shift, axis=1)
             length[rows] -= 1
@@ -304,9 +304,10 @@ class BacktrackingEncoder:
 
 
 class TextEncoder:
-    """Encodes slices of texts; keeps the ids of up to `keep` words (then starts anew)."""
+    """Encodes slices of texts; keeps the ids of about `keep` words (beyond them, of those that came in
+    more than one slice, or none where these are too many)."""
 
-    def __init__(self, v: Vocabulary, words, spaced: bool, normalise=None, keep: int = 150_000):
+    def __init__(self, v: Vocabulary, words, spaced: bool, normalise=None, keep: int = 300_000):
         self.v, self.words, self.spaced, self.normalise, self.keep = v, words, spaced, normalise, keep
         self._forget()
 
@@ -315,6 +316,21 @@ class TextEncoder:
         self.slot = np.zeros(0, np.int64)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.filled, self.entries = np.zeros(1 << 20, np.int32), 0, 0
+        self.used = np.zeros(0, np.int32)
+
+    def _forget_rare(self) -> None:
+        often = np.flatnonzero(self.used[self.slot] > 1)
+        if len(often) > self.keep // 2:
+            return self._forget()
+        slot = self.slot[often]
+        count, end = self.count[slot], np.cumsum(self.count[slot])
+        total = int(end[-1]) if len(end) else 0
+        ids = self.ids[np.repeat(self.begin[slot] - (end - count), count) + np.arange(total)]
+        keys = self.keys[often]
+        self._forget()
+        self.ids = np.concatenate([ids, self.ids])
+        self.keys, self.slot, self.begin, self.count = keys, np.arange(len(keys)), end - count, count
+        self.used, self.filled, self.entries = np.ones(len(keys), np.int32), total, len(keys)
 
     def _learn(self, keys: np.ndarray, words: list[str], where: np.ndarray) -> None:
         got = self.words.encode(words)
@@ -325,6 +341,7 @@ class TextEncoder:
         self.ids[self.filled : self.filled + len(flat)] = flat
         self.begin = np.concatenate([self.begin, self.filled + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
+        self.used = np.concatenate([self.used, np.zeros(len(keys), np.int32)])
         self.slot = np.insert(self.slot, where, self.entries + np.arange(len(keys)))
         self.keys = np.insert(self.keys, where, keys)
         self.filled += len(flat)
@@ -337,7 +354,7 @@ class TextEncoder:
         if self.normalise:
             texts = [self.normalise(t) for t in texts]
         if self.entries > self.keep:
-            self._forget()
+            self._forget_rare()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         doc_end = np.cumsum(size)
         doc_start = doc_end - size
@@ -355,7 +372,9 @@ class TextEncoder:
             new = first[~known]
             self._learn(key[~known], [whole[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], at[~known])
             at = np.searchsorted(self.keys, key)
-        slot = self.slot[at][which]
+        slot = self.slot[at]
+        self.used[slot] += 1
+        slot = slot[which]
         count = self.count[slot]
         total = np.cumsum(count)
         ids = self.ids[np.repeat(self.begin[slot] - (total - count), count) + np.arange(total[-1])]
