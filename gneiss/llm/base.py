@@ -20,6 +20,8 @@ SLICE_BYTES = 1_000_000
 #: Rows of an Arrow batch sent to a Python worker, for sessions that keep Spark's default of 10000: a
 #: batch is bounded in rows only, and rows are whole texts.
 BATCH_ROWS = 500
+#: A table is broadcast only if it was counted to take at most so many bytes.
+BROADCAST_BYTES = 48_000_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -73,6 +75,16 @@ def release(*tables: DataFrame) -> None:
         hadoop_path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def if_small(table: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """table, marked to be broadcast if its rows, as counted, take at most `bound` bytes: eight for each
+    number, and the bytes of strings and binaries.  Its plan should be a read of a durable table."""
+    size: Column = F.lit(16)
+    for f in table.schema.fields:
+        text = f.dataType.typeName() in ("string", "binary")
+        size = size + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if text else F.lit(8))
+    return F.broadcast(table) if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= bound else table
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names: other columns of df, whatever they are called,
     cannot clash with what an operator adds.  Sees to it that the session bounds its Arrow batches."""

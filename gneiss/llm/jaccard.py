@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.base import durable, pick, release, slices, splitmix, strings
+from gneiss.llm.base import durable, if_small, pick, release, slices, splitmix, strings
 from gneiss.llm.components import connected
 from gneiss.llm.groups import block_pairs, each_group, gathered
 from gneiss.llm.words import shingle_hashes, word_hashes
@@ -43,7 +43,6 @@ TARGET_RECALL = 0.99999
 SKETCH = 96  # min-hashes, two bytes of each in the sketch
 STEP = SKETCH // TREES  # a tree's sequence begins so many min-hashes behind that of the tree before
 UNSEEN = 3  # pairs at the threshold that may exist besides those found, in the estimate of the recall
-BROADCAST_BYTES = 48_000_000  # of members, where they are sent to the readers of the texts
 
 
 def recall(threshold: float, depth: int, trees: int = TREES) -> float:
@@ -125,61 +124,97 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str, words: int) ->
 
 def _tie(agree: int):
     """Ties (a, b, and how many min-hashes agree) that connect, within each group, the classes whose
-    sketches agree enough."""
+    sketches agree enough.  Classes under the same child have been compared at a step before, those of
+    one block are compared in the task of that block alone: what connects them is not told again."""
 
     def handle(table: pa.Table) -> pa.RecordBatch:
-        name = np.array(table.column("class").to_pylist(), dtype=object)
+        name, child, own = (table.column(c).to_numpy() for c in ("cid", "child", "own"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), ">u2").reshape(len(name), -1)[:, :SKETCH].astype(np.uint16)
         group = np.stack([table.column(c).to_numpy() for c in ("key", "first", "second")])
         begin = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
         end = np.append(begin[1:], len(name))
-        a, b, same = [], [], []
         two = begin[end - begin == 2]
         alike = (sketch[two] == sketch[two + 1]).sum(axis=1)
-        a += name[two[alike >= agree]].tolist()
-        b += name[two[alike >= agree] + 1].tolist()
-        same += alike[alike >= agree].tolist()
+        told = (alike >= agree) & (child[two] != child[two + 1])
+        told &= (own[two] != own[two + 1]) | (group[1, two] == group[2, two])
+        a, b, same = [name[two[told]]], [name[two[told] + 1]], [alike[told]]
         for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-            left, queue = np.arange(s, e), []
-            while len(left):  # breadth first: each class is held against those not reached yet
-                if not queue:
-                    queue, left = [left[0]], left[1:]
+            part = child[s:e] if group[1, s] == group[2, s] else own[s:e]
+            for i, j, n in _links(sketch[s:e], child[s:e], part, agree):
+                a.append(name[s + i])
+                b.append(name[s + j])
+                same.append(n)
+        a, b, same = np.hstack(a), np.hstack(b), np.hstack(same)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(same, pa.int32())], names=["a", "b", "agree"])
+
+    return lambda batches: each_group(batches, "key", handle)
+
+
+def _links(sketch: np.ndarray, child: np.ndarray, part: np.ndarray, agree: int) -> list[tuple[int, int, int]]:
+    """Pairs (i, j, how many min-hashes agree) that connect the rows whose sketches agree enough, none of
+    them between rows that pairs of the same child or part connect by themselves."""
+    n, links = len(sketch), []
+    known, clump = np.arange(n), np.full(n, -1)
+    if len(np.unique(child)) < n or len(np.unique(part)) < n:
+        left = np.arange(n)
+        while len(left):  # breadth first, over pairs that are told elsewhere
+            queue, left = [left[0]], left[1:]
+            clump[queue[0]] = queue[0]
+            while queue and len(left):
                 here = queue.pop()
-                alike = (sketch[left] == sketch[here]).sum(axis=1)
-                hit = alike >= agree
-                a += [name[here]] * int(hit.sum())
-                b += name[left[hit]].tolist()
-                same += alike[hit].tolist()
+                hit = ((child[left] == child[here]) | (part[left] == part[here])) & ((sketch[left] == sketch[here]).sum(axis=1) >= agree)
+                clump[left[hit]] = clump[here]
                 queue += left[hit].tolist()
                 left = left[~hit]
-        swap = [x > y for x, y in zip(a, b, strict=True)]  # a pair found in several trees is one tie
-        a, b = [y if w else x for x, y, w in zip(a, b, swap, strict=True)], [x if w else y for x, y, w in zip(a, b, swap, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(same, pa.int32())], names=["a", "b", "agree"])
-
-    return lambda batches: each_group(batches, "key", handle)
+    else:
+        clump = known
+    waiting = np.ones(n, bool)
+    for start in range(n):
+        if not waiting[start]:
+            continue
+        queue = np.flatnonzero(clump == clump[start]).tolist()
+        waiting[queue] = False
+        while queue:
+            here = queue.pop()
+            left = np.flatnonzero(waiting)
+            if not len(left):
+                break
+            alike = (sketch[left] == sketch[here]).sum(axis=1)
+            hit = np.flatnonzero(alike >= agree)
+            if not len(hit):
+                continue
+            reached, at = np.unique(clump[left[hit]], return_index=True)
+            links += [(int(here), int(left[hit[k]]), int(alike[hit[k]])) for k in at.tolist()]
+            more = np.flatnonzero(waiting & np.isin(clump, reached))
+            waiting[more] = False
+            queue += more.tolist()
+    return links
 
 
 def forest_ties(classes: DataFrame, threshold: float, block: int, target: float = TARGET_RECALL) -> tuple[DataFrame, int]:
-    """Ties between classes (class, sketch) by the walk through the prefix tries, and the depth at
-    which it stopped."""
+    """Ties between classes (cid, sketch) by the walk through the prefix tries, and the depth at which
+    it stopped."""
 
     def prefix(depth: int) -> Column:
         return F.xxhash64("tree", F.col("label").substr(1, 2 * depth))
 
     steps = depths(threshold)
-    leaf = F.expr(f"substring(sketch, tree * {2 * STEP} + 1, {2 * LONGEST})").alias("label")
-    leaves = classes.select("class", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("class", "tree", leaf).withColumn("root", prefix(steps[-1]))
+    label = F.expr(f"substring(sketch, tree * {2 * STEP} + 1, {2 * LONGEST})")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    leaves = classes.select("cid", "sketch", trees.alias("tree")).select("cid", F.col("tree").cast("byte").alias("tree"), label.alias("label"))
+    leaves = leaves.select("cid", "tree", prefix(steps[-1]).alias("root"))
     crowded = durable(leaves.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1").select("root"))
-    forest = leaves.join(crowded, "root").drop("root").join(classes.select("class", "sketch"), "class")
-    forest = durable(forest.sortWithinPartitions("tree", "label"))
+    forest = leaves.join(if_small(crowded), "root").select("cid", "tree").join(classes.select("cid", "sketch"), "cid")
+    forest = durable(forest.withColumn("label", label).sortWithinPartitions("tree", "label"))
     ties, used = None, [crowded]
     for nth, depth in enumerate(steps):
-        child = prefix(steps[nth - 1]) if nth else F.xxhash64("class")
-        keyed = forest.withColumn("key", prefix(depth)).withColumn("child", child)
+        child = prefix(steps[nth - 1]) if nth else F.col("cid")
+        keyed = forest.select("cid", "sketch", prefix(depth).alias("key"), child.alias("child"))
         nodes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("child").alias("least"), F.max("child").alias("most"))
         nodes = durable(nodes.filter("size > 1 AND least <> most").select("key", "size"))
-        tasks = gathered(block_pairs(keyed.join(nodes, "key"), "key", "class", F.col("size"), 2 * block).select("key", "first", "second", "class", "sketch"), "key")
-        found = durable(tasks.mapInArrow(_tie(least_agreement(threshold)), "a binary, b binary, agree int").distinct())
+        tasks = block_pairs(keyed.join(if_small(nodes), "key"), "key", "cid", F.col("size"), 2 * block)
+        tasks = gathered(tasks.select("key", "first", "second", "own", "cid", "child", "sketch"), "key")
+        found = durable(tasks.mapInArrow(_tie(least_agreement(threshold)), "a long, b long, agree int").distinct())
         ties = found if ties is None else ties.unionAll(found)
         used.append(nodes)
         if depth == steps[-1] or estimated_recall(ties, threshold, depth) >= target:
@@ -260,19 +295,17 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wo
     """doc_id, class_id, n_links and kept for every row of df."""
     prints = durable(fingerprints(df, id_column, text_column, words))
     classes = prints.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc"), F.any_value("sketch").alias("sketch"))
-    classes = durable(classes)
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     ties, _ = forest_ties(classes, threshold, block)
-    groups = durable(connected(ties, "a", "b").select(F.col("node").alias("class"), F.xxhash64("component").alias("comp")))
+    groups = durable(connected(ties, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("comp")))
 
     # the sets of all classes in groups, taken again from the texts of one document each
     size = durable(groups.groupBy("comp").agg(F.count("*").alias("size")))
-    wanted = durable(groups.join(size, "comp").join(classes.select("class", "weight", "doc"), "class"))
+    wanted = durable(groups.join(if_small(size), "comp").join(classes.select("cid", "class", "weight", "doc"), "cid"))
     rows = pick(df, doc=id_column, text=text_column)
     needed = wanted.select("doc", "class", "comp", "size", "weight")
     lacking = needed.filter("doc IS NULL").drop("doc")
-    told = needed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("doc").cast("string"))), F.lit(0))).first()
-    if told[0] * 48 + told[1] <= BROADCAST_BYTES:
-        needed, lacking = F.broadcast(needed), F.broadcast(lacking)
+    needed, lacking = if_small(needed), if_small(lacking)
     texts = rows.join(needed, "doc")
 
     def sets(batches):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.llm import components, jaccard, neardup, queries
 from gneiss.llm.base import durable
@@ -88,22 +89,39 @@ def test_prefix_depth_meets_the_target():
 
 def forest(spark, data, target):
     prints = jaccard.fingerprints(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"), "doc_id", "text", 5)
-    name = {r.doc_id: bytes(r["class"]) for r in prints.collect()}
-    ties, depth = jaccard.forest_ties(durable(prints.select("class", "sketch").distinct()), 0.8, 256, target)
-    return name, {frozenset((bytes(r.a), bytes(r.b))) for r in ties.collect()}, depth
+    ties, depth = jaccard.forest_ties(durable(prints.select(F.col("doc_id").alias("cid"), "sketch")), 0.8, 256, target)
+    return {(r.a, r.b) for r in ties.collect()}, depth
+
+
+def test_links_connect_what_agrees_and_no_more():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(3, 40))
+        sketch = rng.integers(0, 3, (n, 8)).astype(np.uint16)
+        child, part = rng.integers(0, 6, n), rng.integers(0, 3, n)
+        near = lambda i, j, sketch=sketch: (sketch[i] == sketch[j]).sum() >= 5
+        found = jaccard._links(sketch, child, part, 5)
+        assert all(near(i, j) and child[i] != child[j] and part[i] != part[j] for i, j, _ in found)
+        silent = lambda i, j, near=near, child=child, part=part: near(i, j) and (child[i] == child[j] or part[i] == part[j])
+        pairs = {frozenset((i, j)) for i, j, _ in found}
+        _, want = linked_rows(n, near)
+        _, got = linked_rows(n, lambda i, j, pairs=pairs, silent=silent: frozenset((i, j)) in pairs or silent(i, j))
+        assert [[a == b for b in want] for a in want] == [[a == b for b in got] for a in got]
+        _, alone = linked_rows(n, silent)
+        assert len(found) == len(set(alone)) - len(set(want))
 
 
 def test_forest_shortens_prefixes_only_as_far_as_needed(spark):
     rng = random.Random(31)
     base = [cases.prose(rng, 250) for _ in range(60)]
     close = base + [t + " one more" for t in base]
-    name, ties, depth = forest(spark, close, 0.999)
-    assert depth == jaccard.LONGEST and all(frozenset((name[i], name[60 + i])) in ties for i in range(60))
+    ties, depth = forest(spark, close, 0.999)
+    assert depth == jaccard.LONGEST and all((i, 60 + i) in ties for i in range(60))
     loose = base + [cases.edited(rng, t, 5) for t in base]  # similarity near 0.82
-    name, ties, depth = forest(spark, loose, 0.999)
+    ties, depth = forest(spark, loose, 0.999)
     assert depth < jaccard.LONGEST
     near = [i for i in range(60) if len(shingles(base[i]) & shingles(loose[60 + i])) >= 0.8 * len(shingles(base[i]) | shingles(loose[60 + i]))]
-    assert len(near) > 20 and all(frozenset((name[i], name[60 + i])) in ties for i in near)
+    assert len(near) > 20 and all((i, 60 + i) in ties for i in near)
     assert jaccard.depths(0.8)[-1] == jaccard.prefix_depth(0.8) and jaccard.depths(0.8)[0] == jaccard.LONGEST
 
 
