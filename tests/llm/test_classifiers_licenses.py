@@ -33,6 +33,51 @@ def test_language_id_edge_cases(spark, tmp_path):
     assert langid.predict(cases.nothing(spark), empty).count() == 0
 
 
+def slow_losses(model, text):
+    """A text's loss for each language, n-gram by n-gram."""
+    fold = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+    data = (b" " + text.lower().encode() + b"   ").translate(fold)
+    total = [0.0] * len(model.weights)
+    for at in range(len(data)):
+        for k, order in enumerate((2, 3, 4)):
+            gram = data[at : at + order] if at + order <= len(data) else b"    "[:4]
+            value = int.from_bytes(gram, "big")
+            hashed = ((value * 2654435761 + order * 40503) % 2**32 * 2246822519) % 2**32
+            for bit, w in enumerate(model.weights):
+                total[bit] += float(w[(hashed >> (32 - langid.BITS)) + (k << langid.BITS)])
+    margin = [t / math.sqrt(len(data)) * a + b for t, a, b in zip(total, model.slope, model.shift, strict=True)]
+    return [sum(math.log1p(math.exp(-m * bit)) * t for m, bit, t in zip(margin, word, model.trust, strict=True)) for word in model.code.tolist()]
+
+
+def test_decoding_by_brute_force_in_any_partitioning(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    models = [langid.fit(docs.repartition(n)) for n in (1, 7)]
+    for f in ("weights", "slope", "shift", "trust", "sharpness"):
+        assert np.array_equal(getattr(models[0], f), getattr(models[1], f)), f
+    some = docs.filter("length(text) < 1500").orderBy("doc_id").limit(25)
+    text = {r.doc_id: r.text for r in some.collect()}
+    for r in langid.predict(some.repartition(3), models[0]).collect():
+        losses = slow_losses(models[0], text[r.doc_id])
+        likely = [math.exp(-models[0].sharpness * (x - min(losses))) for x in losses]
+        order = sorted(range(len(losses)), key=lambda i: (-likely[i], i))
+        assert r.lang_pred == models[0].languages[order[0]] and r.runner_up == models[0].languages[order[1]]
+        assert abs(r.score - max(likely) / sum(likely)) < 1e-4
+        assert r.ambiguous == ((likely[order[0]] - likely[order[1]]) / sum(likely) < 0.2)
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = langid.Model(["aa", "bb"], langid.codewords(2), np.zeros((1, langid.SIZE), np.float32), np.ones(1), np.zeros(1), np.ones(1), 1.0)
+    (r,) = langid.predict(spark.createDataFrame([(1, "any text")], "doc_id long, text string"), model).collect()
+    assert (r.lang_pred, r.runner_up, r.score, r.ambiguous) == ("aa", "bb", 0.5, True)
+
+
+def test_a_language_of_one_id_on_many_rows(spark):
+    rows = [(i % 6, f"eins zwei drei {i}", "de") for i in range(60)] + [(i, f"one two three {i}", "en") for i in range(100, 150)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(1, "zwei drei"), (2, "two three")], "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got) == [(1, "de"), (2, "en")]
+
+
 def test_grams_of_a_text_do_not_depend_on_its_neighbours():
     data = ["hello wörld", "x", "", "zz top 12", "ein langer Satz über etwas"]
 
