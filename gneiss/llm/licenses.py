@@ -4,10 +4,17 @@ Words are ASCII letters (lower-cased), digits and all non-ASCII characters.  A t
 window of 2*S words, one starting every S words, S the length of the longest template: every run
 of S words lies within a block.  Template tokens are ordered by their document frequency in the
 whole corpus, rarest first.  A block that holds at least `threshold` of a template's tokens must
-hold one of the template's first n - ceil(threshold * n) + 1 (prefix filter), have tokens enough
-(length filter), and have enough left behind the first shared one in both orders (positional
-filter); what passes is counted exactly.  Templates are a parameter of bounded size, the corpus is
-read twice (once for the frequencies) and never shuffled.
+hold one of the template's first n - ceil(threshold * n) + 1: blocks are joined by such tokens with
+an index of the templates' prefixes (prefix filter), so a block meets only templates it shares one
+with.  Pairs must have tokens enough (length filter), and enough left behind the first shared one in
+both orders (positional filter); what passes is counted exactly.  The join's other side is as large
+as the templates; of the corpus, read twice (once for the frequencies), only ids, counts and matches
+are shuffled, to put a text's matches together.
+
+A match tells its label if the block holds those words of the label that the template has ("mit" in
+a notice of that name), and unless a template that shares `threshold` of its tokens does better in
+the same block (a larger share, or as large a share of more tokens): so CC BY does not come with
+CC BY-NC, while two licences side by side are both told.
 
 Null and empty texts have no words, no labels and score 0.  Each row is scanned by itself, so ties,
 repeated rows and other columns have no effect.
@@ -21,7 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.base import pick
+from gneiss.llm.base import if_small, pick
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,25 +105,21 @@ def scan(
 ) -> DataFrame:
     """doc_id, n_words, places (array of start and label of each base phrase), matches (array of
     block start, label, overlap and containment for every block and template that meet the
-    threshold), base_labels and labels (arrays; of a block's templates those of the highest
-    containment and, among these, the largest overlap count)."""
+    threshold, told: whether it tells its label), base_labels and labels (arrays)."""
+    spark = df.sparkSession
     sets = [(label, list(dict.fromkeys(split_words(text)))) for label, text in templates]
+    sets = [(label, tokens) for label, tokens in sets if tokens]
     stride = max([len(split_words(text)) for _, text in templates], default=1)
     vocabulary = sorted({w for _, tokens in sets for w in tokens})
     df_of = frequencies(df, vocabulary, text_column) if vocabulary else {}
     ranked = sorted(vocabulary, key=lambda w: (df_of.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(ranked)}
-    entries, prefixes = [], set()
-    for label, tokens in sets:
-        tokens = sorted(tokens, key=rank.get)
-        need = math.ceil(threshold * len(tokens) - 1e-9)
-        prefix = tokens[: len(tokens) - need + 1]
-        prefixes.update(prefix)
-        entries.append(F.struct(F.lit(label).alias("label"), _strings(tokens).alias("tokens"), _strings(prefix).alias("prefix"), F.lit(need).alias("need")))
+    index = prefix_index(sets, {w: i for i, w in enumerate(ranked)}, threshold)
+    prefixes = _strings(sorted({entry[0] for entry in index}))
+    index = if_small(spark.createDataFrame(index, "token string, t int, label string, tokens array<string>, prefix array<string>, need int, marks array<string>, variants array<int>"))
 
     rows = pick(df, doc_id=id_column, text=text_column).withColumn("words", words_of(F.col("text")))
-    words, n = F.col("words"), F.size("words")
-    rows = rows.select("doc_id", "words", n.alias("n_words"))
+    words = F.col("words")
+    rows = rows.select("doc_id", "words", F.size("words").alias("n_words"))
 
     # base phrases; the words are walked only where a phrase's rarest part can be
     starts: Column = F.array().cast("array<struct<start:int,label:string>>")
@@ -126,30 +129,51 @@ def scan(
         places = F.transform(_places(words, F.col("n_words"), parts), _labelled(label))
         starts = F.concat(starts, F.when(holds, places).otherwise(F.array().cast("array<struct<start:int,label:string>>")))
 
-    kind = "array<struct<start:int,label:string,overlap:int,containment:double>>"
-
-    def matches_in(start: Column) -> Column:
-        block = F.array_intersect(_strings(ranked), F.slice(words, start + F.lit(1), F.lit(2 * stride)))  # in the global order
-
-        def passes(t: Column) -> Column:
-            first = F.get(F.array_intersect(t["prefix"], block), F.lit(0))  # the rarest shared token
-            behind = lambda side: F.size(side) - F.array_position(side, first).cast("int")
-            positional = F.least(behind(t["tokens"]), behind(block)) + F.lit(1) >= t["need"]
-            return first.isNotNull() & (F.size(block) >= t["need"]) & positional & (F.size(F.array_intersect(t["tokens"], block)) >= t["need"])
-
-        def told(t: Column) -> Column:
-            overlap = F.size(F.array_intersect(t["tokens"], block))
-            return F.struct(start.cast("int").alias("start"), t["label"].alias("label"), overlap.alias("overlap"), (overlap / F.size(t["tokens"])).alias("containment"))
+    # blocks with a prefix token, a row for each of these tokens; a row of nulls for texts without
+    def block(start: Column) -> Column:
+        tokens = F.array_intersect(_strings(ranked), F.slice(words, start + F.lit(1), F.lit(2 * stride)))  # in the global order
+        return F.struct(start.cast("int").alias("start"), tokens.alias("tokens"))
+
+    block_starts = F.sequence(F.lit(0), F.greatest(F.col("n_words") - F.lit(1), F.lit(0)), F.lit(stride))
+    blocks = F.when(F.arrays_overlap(words, prefixes), F.transform(block_starts, block))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", starts.alias("places"), blocks.alias("blocks"))
+    cut = rows.select("row", "doc_id", "n_words", "places", F.explode_outer("blocks").alias("block"))
+    shared = F.explode_outer(F.array_intersect(F.col("block.tokens"), prefixes))
+    joined = cut.select("row", "doc_id", "n_words", "places", "block", shared.alias("token")).join(index, "token", "left")
+
+    held, tokens = F.col("block.tokens"), F.col("tokens")
+    behind = lambda side: F.size(side) - F.array_position(side, F.col("token")).cast("int") + F.lit(1)
+    first = F.get(F.array_intersect("prefix", held), F.lit(0)) == F.col("token")  # a pair is met by the rarest shared token
+    overlap = F.size(F.array_intersect(tokens, held))
+    passes = first & (F.size(held) >= F.col("need")) & (F.least(behind(tokens), behind(held)) >= F.col("need")) & (overlap >= F.col("need"))
+    marked = F.size(F.array_intersect("marks", held)) == F.size("marks")
+    match = F.struct(F.col("block.start").alias("start"), "label", overlap.alias("overlap"), (overlap / F.size(tokens)).alias("containment"), "t", "variants", marked.alias("marked"))
+    found = joined.select("row", "doc_id", "n_words", "places", F.when(passes, match).alias("match"))
+    rows = found.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("places").alias("places"), F.array_sort(F.collect_list("match")).alias("found"))
+
+    def told(m: Column) -> Column:
+        def better(o: Column) -> Column:
+            more = (o["containment"] > m["containment"]) | ((o["containment"] == m["containment"]) & (o["overlap"] > m["overlap"]))
+            return (o["start"] == m["start"]) & o["marked"] & F.array_contains(m["variants"], o["t"]) & more
+
+        return F.struct(m["start"].alias("start"), m["label"].alias("label"), m["overlap"].alias("overlap"), m["containment"].alias("containment"), (m["marked"] & ~F.exists("found", better)).alias("told"))
+
+    rows = rows.select("doc_id", "n_words", "places", F.transform("found", told).alias("matches"))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    own = F.transform(F.filter("matches", lambda m: m["told"]), lambda m: m["label"])
+    return rows.select("*", base.alias("base_labels"), F.array_sort(F.array_distinct(F.concat(base, own))).alias("labels"))
 
-        return F.transform(F.filter(F.array(*entries), passes), told)
 
-    if entries:
-        block_starts = F.sequence(F.lit(0), F.greatest(F.col("n_words") - F.lit(1), F.lit(0)), F.lit(stride))
-        found = F.flatten(F.transform(block_starts, matches_in))
-        matches = F.when(F.arrays_overlap(words, _strings(sorted(prefixes))), found).otherwise(F.array().cast(kind)).cast(kind)
-    else:
-        matches = F.array().cast(kind)
-    rows = rows.select("doc_id", "n_words", starts.alias("places"), matches.alias("matches"))
-    best = F.filter("matches", lambda m: ~F.exists("matches", lambda o: (o["start"] == m["start"]) & ((o["containment"] > m["containment"]) | ((o["containment"] == m["containment"]) & (o["overlap"] > m["overlap"])))))
-    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
-    return rows.select("*", base.alias("base_labels"), F.array_sort(F.array_distinct(F.concat(base, F.transform(best, lambda m: m["label"])))).alias("labels"))
+def prefix_index(sets: list[tuple[str, list[str]]], rank: dict[str, int], threshold: float) -> list[tuple]:
+    """A row for each prefix token of each template: token, number and label of the template, its tokens
+    in the global order, its prefix, how many must be shared, the words of the label among the tokens,
+    and the templates that share `threshold` of its tokens."""
+    out = []
+    for t, (label, tokens) in enumerate(sets):
+        tokens = sorted(tokens, key=rank.get)
+        need = math.ceil(threshold * len(tokens) - 1e-9)
+        prefix = tokens[: len(tokens) - need + 1]
+        marks = [w for w in split_words(label) if w in tokens]
+        variants = [o for o, (_, other) in enumerate(sets) if o != t and len(set(tokens) & set(other)) >= need]
+        out += [(token, t, label, tokens, prefix, need, marks, variants) for token in prefix]
+    return out

@@ -49,18 +49,22 @@ def license_sql() -> str:
         here = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         starts.append(f"list_filter(range(1, greatest(len(w) - {len(parts) - 2}, 1)), lambda i: {here})")
         labels.append(f"CASE WHEN len({starts[-1]}) > 0 THEN ['{label}'] ELSE [] END")
+    sets = [(label, list(dict.fromkeys(licenses.split_words(text)))) for label, text in licenses.TEMPLATES]
     templates = []
-    for label, text in licenses.TEMPLATES:
-        words = list(dict.fromkeys(licenses.split_words(text)))
-        templates.append(f"('{label}', {_list(words)}, {len(words)}, {math.ceil(0.8 * len(words) - 1e-9)})")
+    for t, (label, words) in enumerate(sets):
+        need = math.ceil(0.8 * len(words) - 1e-9)
+        marks = [w for w in licenses.split_words(label) if w in words]
+        variants = [o for o, (_, other) in enumerate(sets) if o != t and len(set(words) & set(other)) >= need]
+        templates.append(f"({t}, '{label}', {_list(words)}, {len(words)}, {need}, CAST({_list(marks)} AS VARCHAR[]), CAST({variants} AS INT[]))")
     return f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 base AS (SELECT doc_id, w, {" || ".join(f"CAST({s} AS BIGINT[])" for s in starts)} AS places, {" || ".join(f"CAST({x} AS VARCHAR[])" for x in labels)} AS b FROM d),
-t(label, tokens, n, need) AS (VALUES {", ".join(templates)}),
+t(t, label, tokens, n, need, marks, variants) AS (VALUES {", ".join(templates)}),
 block AS (SELECT doc_id, s, list_distinct(w[s + 1:s + {2 * stride}]) AS words FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {stride})) AS s FROM d) x),
-hit AS (SELECT doc_id, s, label, len(list_intersect(words, tokens)) AS overlap, n, need FROM block, t),
-met AS (SELECT doc_id, label, overlap / n AS containment, rank() OVER (PARTITION BY doc_id, s ORDER BY overlap / n DESC, overlap DESC) AS r FROM hit WHERE overlap >= need),
-found AS (SELECT doc_id, list(label) FILTER (WHERE r = 1) AS m, max(containment) AS top FROM met GROUP BY doc_id)
+hit AS (SELECT doc_id, s, t, label, len(list_intersect(words, tokens)) AS overlap, n, need, variants, len(list_intersect(words, marks)) = len(marks) AS marked FROM block, t),
+met AS (SELECT *, overlap / n AS share FROM hit WHERE overlap >= need AND marked),
+told AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.doc_id = m.doc_id AND o.s = m.s AND list_contains(m.variants, o.t) AND (o.share > m.share OR (o.share = m.share AND o.overlap > m.overlap)))),
+found AS (SELECT doc_id, list(label) AS m, max(share) AS top FROM told GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
 array_to_string(list_sort(list_distinct(b || coalesce(m, CAST([] AS VARCHAR[])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(top, 0.0::DOUBLE) END AS score
 FROM base LEFT JOIN found USING (doc_id)"""

@@ -83,7 +83,7 @@ def op9_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"].cast("long"))
-    containment = F.array_max(F.transform("matches", lambda m: m["containment"]))
+    containment = F.array_max(F.transform(F.filter("matches", lambda m: m["told"]), lambda m: m["containment"]))
     return out.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),

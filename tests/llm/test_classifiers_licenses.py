@@ -206,10 +206,12 @@ def brute_license(text):
         block, found = set(w[s : s + 2 * stride]), []
         for label, t in licenses.TEMPLATES:
             tokens = set(licenses.split_words(t))
-            if len(tokens & block) >= 0.8 * len(tokens) - 1e-9:
-                found.append((len(tokens & block) / len(tokens), len(tokens & block), label))
-        labels |= {x[2] for x in found if x[:2] == max(found)[:2]}
-        top = max([top, *(x[0] for x in found)])
+            if len(tokens & block) >= 0.8 * len(tokens) - 1e-9 and all(x in block for x in licenses.split_words(label) if x in tokens):
+                found.append((len(tokens & block) / len(tokens), len(tokens & block), label, tokens))
+        for x in found:
+            if not any(y[:2] > x[:2] and len(x[3] & y[3]) >= 0.8 * len(x[3]) - 1e-9 for y in found):
+                labels.add(x[2])
+                top = max(top, x[0])
     return (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), 1.0 if places else top)
 
 
@@ -231,6 +233,24 @@ def test_license_query_against_brute_force(spark, tmp_path):
     assert licenses.scan(cases.nothing(spark)).count() == 0
 
 
+def test_license_labels_of_neighbours_variants_and_look_alikes(spark):
+    data = {
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0": ["Apache-2.0", "MIT"],
+        "Licensed under CC BY-NC 4.0": ["CC-BY-NC-4.0", "cc-by"],
+        "Licensed under CC BY 4.0": ["CC-BY-4.0", "cc-by"],
+        "It was released under the old license of 1990": [],
+        "licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0", "gpl"],
+        "licensed under the GNU General Public License, version 3": ["GPL-3.0", "gpl"],
+        "licensed under the GNU General Public License, version 2": ["GPL-2.0", "gpl"],
+    }
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: r["labels"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(data))] == list(data.values())
+    (r,) = licenses.scan(df.filter("doc_id = 3")).collect()
+    assert [(m.label, m.overlap, m.told) for m in r.matches] == [("MIT", 4, False)]
+    assert licenses.scan(df, templates=[]).filter("size(matches) > 0").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
