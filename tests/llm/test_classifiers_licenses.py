@@ -267,3 +267,36 @@ def test_pipeline(spark, tmp_path):
     left = [r.doc_id for r in before.collect() if r.doc_id is not None]
     assert len(left) == len(set(left)) and not {300, 301, 302, 304} & set(left) and not set(range(100, 120)) & set(left)
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    insults = ["vilex", "grotto", "spiteful"]
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        docs.append((i, cases.prose(rng, 40) + (" " + " ".join(rng.sample(insults, 3)) if toxic else "")))
+        labels.append((i, 0, int(toxic)))
+    clean, bad, near = cases.prose(rng, 60), cases.prose(rng, 60) + " vilex grotto spiteful", cases.prose(rng, 60)
+    docs += [(1000, clean), (1000, bad), (1000, "12 345"), (None, near), (None, near), (None, near + " tail"), (None, bad + " x"), (1001, "%%%"), (1002, clean + " end"), (1003, near)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame([(i, t, "en" if k % 2 else "xx", "s", len(t)) for k, (i, t) in enumerate(docs)], schema)
+    folder = cases.write(table, tmp_path, "documents")
+    cases.write(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.jaccard_join(spark, corpus_pipeline.toxic_neighbours(spark, read, folder), folder).collect()
+    held = sorted(((r.doc_id, r.text) for r in kept if r.doc_id is None or r.doc_id >= 1000), key=str)
+    assert held == sorted([(1000, clean), (1000, "12 345"), (1001, "%%%"), (1003, near)], key=str)
+    assert all(t in {r.text for r in kept} for i, t in docs[:400] if i % 5)
+    told = {r.text for r in corpus_pipeline.language_id(spark, read, folder).collect()}
+    assert "12 345" not in told and "%%%" not in told and clean in told
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = cases.write(cases.nothing(spark), tmp_path, "documents")
+    cases.write(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    assert corpus_pipeline.run(spark, folder).count() == 0
