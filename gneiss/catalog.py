@@ -7,6 +7,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from gneiss.functions import dialect, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,9 +30,26 @@ def tables_in(sql: str) -> list[str]:
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Runs a statement over the tables of a folder."""
-    register_tables(spark, sf_dir, tables_in(sql))
-    return spark.sql(sql)
+    """Runs a statement, in this library's dialect, over the tables of a folder."""
+    names = tables_in(sql)
+    register_tables(spark, sf_dir, names)
+    return run(spark, sql, names)
+
+
+def run(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> DataFrame:
+    """Runs a statement in this library's dialect.  Whole-number columns of the tables (all temporary
+    views that the statement names, where none are given) divide without a fraction; a name that is
+    another kind of number in any of them does not."""
+    if tables is None:
+        words = {t.lower().strip("`") for t in dialect.tokens(sql)}
+        tables = [t.name for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in words] if "/" in sql else []
+    if any(t.lower() in registry.NAMES for t in dialect.tokens(sql)):
+        registry.register(spark)
+    whole, other = set(), set()
+    for name in tables if "/" in sql else ():
+        for f in spark.table(name).schema:
+            (whole if isinstance(f.dataType, IntegralType) else other).add(f.name.lower())
+    return spark.sql(dialect.translate(sql, whole - other))
 
 
 def register_parquet(spark: SparkSession, name: str, path: str, partition_types: dict[str, str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +25,77 @@ def coalesced(df: DataFrame, parts: int = 1) -> DataFrame:
 
 
 def shares(weights: list[float], budget: int, most: list[int | None] | None = None) -> list[int]:
-    """How many of `budget` tasks each child gets: by weight, largest remainders first, one at least
-    and never more than its cap."""
-    most = most or [None] * len(weights)
-    total = sum(weights) or 1
-    exact = [budget * w / total for w in weights]
-    cap = [budget if m is None else m for m in most]
-    out = [min(c, max(1, int(e))) for e, c in zip(exact, cap, strict=True)]
-    order = sorted(range(len(weights)), key=lambda i: (-(exact[i] - int(exact[i])), i))
-    while sum(out) < budget and (open_ := [i for i in order if out[i] < cap[i]]):
-        for i in open_:
+    """How many of `budget` tasks each child gets: whole shares by weight, the rest by the largest
+    remainders, none beyond its cap.  The sum is the budget unless all are at their caps; a child may
+    get none."""
+    cap = [budget if m is None else min(m, budget) for m in most or [None] * len(weights)]
+    total = sum(weights)
+    exact = [budget * w / total if total else budget / len(weights) for w in weights]
+    out = [min(c, int(e)) for e, c in zip(exact, cap, strict=True)]
+    order = sorted(range(len(weights)), key=lambda i: (not exact[i], int(exact[i]) - exact[i], i))
+    while sum(out) < budget and (able := [i for i in order if out[i] < cap[i]]):
+        for i in [i for i in able if exact[i]] or able:
             if sum(out) < budget:
                 out[i] += 1
     return out
 
 
 def isolated_union(children: list[DataFrame], budget: int, weights: list[float] | None = None, most: list[int | None] | None = None) -> DataFrame:
-    """UNION ALL in which each child keeps to its own share of the tasks."""
+    """UNION ALL in which each child keeps to its own share of the tasks.  Children without a share are
+    dealt in turn over those that have one and share their tasks."""
     count = shares(weights or [1.0] * len(children), budget, most)
-    out = children[0].coalesce(count[0])
-    for child, n in zip(children[1:], count[1:], strict=True):
-        out = out.unionByName(child.coalesce(n))
+    owners = [i for i, n in enumerate(count) if n]
+    if not owners:
+        raise ValueError("no child may have a task")
+    guests = [i for i, n in enumerate(count) if not n]
+    out = None
+    alone = all(count[i] == 1 for i in owners)
+    for turn, i in enumerate(owners):
+        part = children[i]
+        for g in guests[turn :: len(owners)]:
+            part = part.unionByName(children[g])
+        part = part.coalesce(count[i])
+        if alone:  # Spark would put children of one partition each into one task; an Expand hides that
+            part = part.withColumn("__one", F.lit(1)).unpivot(children[i].columns, ["__one"], "__name", "__value").select(*children[i].columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@dataclass(frozen=True)
+class TaskCount:
+    """A wish (desired) or a bound (maximum) for the number of tasks of a part of the plan."""
+
+    desired: int | None = None
+    maximum: int | None = None
+
+    def __or__(self, other: TaskCount) -> TaskCount:
+        """Both together: the larger wish and the smaller bound."""
+        wishes = [n for n in (self.desired, other.desired) if n is not None]
+        bounds = [n for n in (self.maximum, other.maximum) if n is not None]
+        return TaskCount(max(wishes, default=None), min(bounds, default=None))
+
+    def resolve(self, now: int) -> int:
+        """The number of tasks for a part that has `now`: a bound beats a wish."""
+        n = self.desired or now
+        return max(1, min(n, self.maximum) if self.maximum is not None else n)
+
+
+def with_task_count(df: DataFrame, *hints: TaskCount) -> DataFrame:
+    """df in as many tasks as the hints together ask for: fewer without a shuffle, more with one."""
+    merged = TaskCount()
+    for hint in hints:
+        merged = merged | hint
+    now = df.rdd.getNumPartitions()
+    n = merged.resolve(now)
+    return df if n == now else df.coalesce(n) if n < now else df.repartition(n)
+
+
+def interleaved(children: list[DataFrame], parts: int, *keys: str) -> DataFrame:
+    """UNION ALL of children dealt alike by their keys: partition i of the result holds partition i of
+    every child, so what follows on these keys needs no further shuffle."""
+    out = children[0].repartition(parts, *keys)
+    for child in children[1:]:
+        out = out.unionByName(child.repartition(parts, *keys))
     return out
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss import catalog
 from gneiss.functions import registry
 from gneiss.operators import aggregates, distribution, joins
-from gneiss.plans import relational, suites
+from gneiss.plans import relational, sampler, suites
+from gneiss.plans.handlers import Handlers
 from gneiss.sources import numbers as sources
 from gneiss.streaming import windows
 
@@ -56,7 +59,8 @@ def agg_reduction_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_date_bin_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.table(spark, sf_dir, "events").withColumn("bin", registry.date_bin(3600, F.col("ts")))
+    registry.register(spark)
+    rows = catalog.table(spark, sf_dir, "events").withColumn("bin", registry.date_bin(timedelta(hours=1), F.col("ts")))
     return rows.groupBy("bin").agg(F.count("*").alias("n"))
 
 
@@ -69,8 +73,7 @@ def udf_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udtf_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources.register_udtfs(spark)
-    return spark.sql("SELECT number FROM numbers(3, 40)")
+    return catalog.run(spark, "SELECT number FROM numbers(3, 40)")
 
 
 def source_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +92,8 @@ def dist_repartition_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dist_range_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = distribution.by_range(catalog.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 5, "o_orderdate")
     spans = distribution.with_task(rows).groupBy("task").agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"), F.count("*").alias("n"))
-    a, b = spans.alias("a"), spans.alias("b")
-    overlapping = a.join(b, (F.col("a.task") < F.col("b.task")) & (F.col("a.hi") > F.col("b.lo"))).agg(F.count("*").alias("overlaps"))
-    return overlapping
+    following = F.lead("lo").over(Window.orderBy("task"))  # a row a task
+    return spans.select(F.when(F.col("hi") > following, 1).alias("over")).agg(F.count("over").alias("overlaps"))
 
 
 def dist_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +125,68 @@ def stateful_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.sum("rows").alias("n_rows"), F.sum("total").alias("total"))
 
 
+def dist_weighted_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that each child's rows run in: whole shares of a budget, none for the child of weight 0."""
+    keys = (("customer", "c_custkey"), ("orders", "o_orderkey"), ("nation", "n_nationkey"))
+    children = [catalog.table(spark, sf_dir, t).select(F.lit(t).alias("child"), F.col(c).cast("long").alias("k")).repartition(8, "k") for t, c in keys]
+    rows = distribution.isolated_union(children, 4, [1.0, 3.0, 0.0])
+    return distribution.with_task(rows).groupBy("child").agg(F.countDistinct("task").alias("tasks"), F.count("*").alias("n"))
+
+
+def dist_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = catalog.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    customers = catalog.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return distribution.interleaved([orders, customers], 6, "k").groupBy("k").agg(F.count("*").alias("n"))
+
+
+def dist_task_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = distribution.TaskCount
+    rows = distribution.with_task_count(spark.range(0, 96, 1, 8), count(desired=12), count(maximum=6), count(desired=4))
+    return distribution.with_task(rows).agg(F.countDistinct("task").alias("tasks"), F.count("*").alias("n"))
+
+
+def udaf_geometric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def geometric(value: pd.Series) -> float:
+        return float(np.exp(np.log(value).mean()))
+
+    rows = catalog.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(geometric("l_quantity").alias("g"))
+    return rows.select("l_returnflag", F.round("g", 6).alias("g"))
+
+
+def udwf_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def spread(value: pd.Series) -> float:
+        return float(value.max() - value.min())
+
+    over = Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(-1, 1)
+    return catalog.table(spark, sf_dir, "nation").select("n_nationkey", spread(F.col("n_nationkey").cast("double")).over(over).alias("spread"))
+
+
+def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = catalog.table(spark, sf_dir, "events")
+    a = events.filter("event_id % 3 = 0").select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = events.filter("event_id % 3 = 1").select("user_id", F.col("event_id").alias("next_id"), F.col("ts").alias("next_ts"))
+    return windows.interval_join(a, b, "user_id", "first_ts", "next_ts", "1 DAY").select("user_id", "first_id", "next_id")
+
+
+def sampler_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1)
+    return sampler.profile(rows).select("name", "rows", "null_share", F.round("distinct_share", 6).alias("distinct_share"), "complete")
+
+
+def plan_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    handlers = Handlers()
+    handlers.rewrite(lambda df: df.filter("n_regionkey < 3"))
+    handlers.rewrite(lambda df: df.withColumn("n_name", F.lower("n_name")))
+    handlers.rewrite(lambda df: None)
+    return handlers.apply(catalog.table(spark, sf_dir, "nation").select("n_name", "n_regionkey"))
+
+
+def numbers_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.query(spark, sf_dir, "SELECT n_name, t.number FROM nation JOIN numbers(0, 5) t ON n_nationkey = t.number")
+
+
 _FRAMES: dict[str, tuple[Query, str | None]] = {
     "join_inner_hash": (_inner(None), _INNER),
     "join_broadcast": (_inner("broadcast"), _INNER),
@@ -142,6 +206,15 @@ _FRAMES: dict[str, tuple[Query, str | None]] = {
     "dist_coalesce": (dist_coalesce, "SELECT CAST(0 AS BIGINT) AS task, count(*) AS n FROM nation"),
     "dist_union_tasks": (dist_union_tasks, "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT n_nationkey FROM nation"),
     "stream_tumbling_batch": (stream_tumbling_batch, "SELECT date_trunc('hour', ts) AS bin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
+    "dist_weighted_union": (dist_weighted_union, "SELECT 'customer' AS child, 1::BIGINT AS tasks, count(*) AS n FROM customer UNION ALL SELECT 'orders', 3, count(*) FROM orders UNION ALL SELECT 'nation', 1, count(*) FROM nation"),
+    "dist_interleaved": (dist_interleaved, "SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY k"),
+    "dist_task_hints": (dist_task_hints, "SELECT 6::BIGINT AS tasks, 96::BIGINT AS n"),
+    "udaf_geometric_mean": (udaf_geometric_mean, "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS g FROM lineitem GROUP BY l_returnflag"),
+    "udwf_spread": (udwf_spread, "SELECT n_nationkey, CAST(max(n_nationkey) OVER w - min(n_nationkey) OVER w AS DOUBLE) AS spread FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"),
+    "join_interval": (join_interval, "SELECT a.user_id, a.event_id AS first_id, b.event_id AS next_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY WHERE a.event_id % 3 = 0 AND b.event_id % 3 = 1"),
+    "sampler_profile": (sampler_profile, "SELECT * FROM (VALUES ('n_nationkey', 25::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE, true), ('n_name', 25, 0.0, 1.0, true), ('n_regionkey', 25, 0.0, 0.2, true)) v(name, rows, null_share, distinct_share, complete)"),
+    "plan_rewrites": (plan_rewrites, "SELECT lower(n_name) AS n_name, n_regionkey FROM nation WHERE n_regionkey < 3"),
+    "numbers_in_sql": (numbers_in_sql, "SELECT n_name, t.number FROM nation JOIN (SELECT range AS number FROM range(0, 5)) t ON n_nationkey = t.number"),
     "stateful_map": (stateful_map, "SELECT count(*) AS n_rows, CAST(sum(user_id) AS BIGINT) AS total FROM events"),
 }
 

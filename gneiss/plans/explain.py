@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -93,6 +94,53 @@ def analyze(df: DataFrame) -> Report:
     return Report(rows, took, render(df), metrics)
 
 
+@dataclass
+class StageTasks:
+    """A stage that ran, and its tasks' durations (milliseconds), rows and bytes."""
+
+    stage: int
+    tasks: int
+    durations: dict[str, float]
+    per_task: list[dict[str, int]]
+
+
+def analyze_tasks(df: DataFrame) -> tuple[Report, list[StageTasks]]:
+    """As analyze, with what each task of each stage took: durations by percentile, and per task its
+    duration, rows and bytes read and written, and spill."""
+    sc = df.sparkSession.sparkContext
+    group = f"gneiss-analyze-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, "analyze")
+    try:
+        report = analyze(df)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    ids = sorted({s for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for s in info.stageIds})
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, out = sc._jsc.sc().statusStore(), []
+    for stage in ids:
+        listed = store.taskList(stage, 0, 1_000_000)
+        rows = []
+        for i in range(listed.size()):
+            task = listed.apply(i)
+            took, metrics = task.duration(), task.taskMetrics()
+            if took.isEmpty() or metrics.isEmpty():
+                continue
+            m = metrics.get()
+            rows.append({
+                "task": task.index(),
+                "milliseconds": took.get(),
+                "rows_read": m.inputMetrics().recordsRead() + m.shuffleReadMetrics().recordsRead(),
+                "bytes_read": m.inputMetrics().bytesRead() + m.shuffleReadMetrics().localBytesRead() + m.shuffleReadMetrics().remoteBytesRead(),
+                "rows_written": m.shuffleWriteMetrics().recordsWritten(),
+                "bytes_written": m.shuffleWriteMetrics().bytesWritten(),
+                "bytes_spilled": m.diskBytesSpilled(),
+            })
+        if rows:
+            out.append(StageTasks(stage, len(rows), percentiles([float(r["milliseconds"]) for r in rows]), sorted(rows, key=lambda r: r["task"])))
+    return report, out
+
+
 def percentiles(values: list[float]) -> dict[str, float]:
     """min, max, avg and nearest-rank p50, p75, p95 and p99."""
     ordered = sorted(values)

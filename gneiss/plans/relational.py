@@ -144,13 +144,45 @@ SHARED["fn_extract_trunc"] = """
 SELECT event_id, CAST(extract(year FROM ts) AS BIGINT) AS y, CAST(extract(minute FROM ts) AS BIGINT) AS m, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS t FROM events"""
 TWO["fn_extract_trunc"] = (SHARED.pop("fn_extract_trunc").replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)"), "SELECT event_id, extract(year FROM ts) AS y, extract(minute FROM ts) AS m, date_trunc('minute', ts) AS t FROM events")
 TWO["fn_date_bin"] = (
-    "SELECT bin, event_type, max(value) AS top FROM (SELECT CAST(timestamp_seconds(floor(unix_timestamp(ts) / 30) * 30) AS TIMESTAMP_NTZ) AS bin, event_type, value FROM events) t GROUP BY bin, event_type",
+    "SELECT bin, event_type, max(value) AS top FROM (SELECT date_bin(INTERVAL '30 seconds', ts) AS bin, event_type, value FROM events) t GROUP BY bin, event_type",
     "SELECT time_bucket(INTERVAL '30 seconds', ts) AS bin, event_type, max(value) AS top FROM events GROUP BY 1, 2",
 )
+TWO["fn_date_bin_origin"] = (
+    "SELECT date_bin(INTERVAL '7 days', ts, TIMESTAMP_NTZ '2001-01-03 05:00:00') AS bin, count(*) AS n FROM events GROUP BY 1",
+    "SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '2001-01-03 05:00:00') AS bin, count(*) AS n FROM events GROUP BY 1",
+)
+TWO["fn_date_bin_months"] = (
+    "SELECT date_bin(INTERVAL '3 months', o_orderdate, TIMESTAMP_NTZ '1999-02-01 00:00:00') AS bin, count(*) AS n FROM (SELECT CAST(o_orderdate AS TIMESTAMP_NTZ) AS o_orderdate FROM orders) o GROUP BY 1",
+    "SELECT time_bucket(INTERVAL '3 months', CAST(o_orderdate AS TIMESTAMP), TIMESTAMP '1999-02-01') AS bin, count(*) AS n FROM orders GROUP BY 1",
+)
 TWO["fn_to_timestamp_seconds"] = (
-    "SELECT o_orderkey, CAST(timestamp_seconds(o_orderkey * 3600) AS TIMESTAMP_NTZ) AS t FROM orders",
+    "SELECT o_orderkey, to_timestamp_seconds(o_orderkey * 3600) AS t FROM orders",
     "SELECT o_orderkey, make_timestamp(o_orderkey * 3600 * 1000000) AS t FROM orders",
 )
+TWO["dialect_division"] = (
+    "SELECT o_orderkey / 7 AS q, 7 / 2 AS three, 7 / 2.0 AS more, o.o_orderkey / o.o_custkey AS ratio, o_totalprice / 2 AS half FROM orders o WHERE o_custkey > 0",
+    "SELECT o_orderkey // 7 AS q, 7 // 2 AS three, 7 / 2.0 AS more, o.o_orderkey // o.o_custkey AS ratio, o_totalprice / 2 AS half FROM orders o WHERE o_custkey > 0",
+)
+TWO["dialect_null_order_asc"] = (
+    "SELECT k, v FROM (SELECT n_nationkey AS k, nullif(n_nationkey % 5, 0) AS v FROM nation) t ORDER BY v, k LIMIT 22",
+    "SELECT k, v FROM (SELECT n_nationkey AS k, nullif(n_nationkey % 5, 0) AS v FROM nation) t ORDER BY v NULLS LAST, k LIMIT 22",
+)
+TWO["dialect_null_order_desc"] = (
+    "SELECT k, v FROM (SELECT n_nationkey AS k, nullif(n_nationkey % 5, 0) AS v FROM nation) t ORDER BY v DESC, k LIMIT 7",
+    "SELECT k, v FROM (SELECT n_nationkey AS k, nullif(n_nationkey % 5, 0) AS v FROM nation) t ORDER BY v DESC NULLS FIRST, k LIMIT 7",
+)
+SHARED["dialect_quoted_identifiers"] = 'SELECT "n_name" AS "The Name", "t"."K 1" AS k FROM (SELECT n_name, n_nationkey AS "K 1" FROM nation) AS "t" WHERE "K 1" < 9'
+SHARED["dialect_concat_nulls"] = "SELECT n_nationkey, concat('<', nullif(n_name, 'NATION_3'), NULL, '>') AS c, concat(n_name, n_regionkey) AS d FROM nation"
+SHARED["lenient_casts"] = "SELECT try_cast(substring(c_name, 10, 3) AS INTEGER) AS a, try_cast(c_mktsegment AS INTEGER) AS b, count(*) AS n FROM customer GROUP BY 1, 2"
+SHARED["agg_limit_unordered"] = "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY o_custkey LIMIT 10) t"
+TWO["agg_approx_distinct"] = (
+    "SELECT event_type, abs(approx_count_distinct(user_id, 0.02) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS near FROM events GROUP BY event_type",
+    "SELECT DISTINCT event_type, true AS near FROM events",
+)
+TWO["agg_approx_percentile"] = (
+    "SELECT l_returnflag, abs(percentile_approx(l_quantity, 0.5, 10000) - percentile(l_quantity, 0.5)) <= 1 AS near FROM lineitem GROUP BY l_returnflag",
+    "SELECT DISTINCT l_returnflag, true AS near FROM lineitem",
+)
 SHARED["fn_round_abs"] = "SELECT s_suppkey, round(abs(s_acctbal - 5000), 2) AS a FROM supplier"
 SHARED["fn_cast_decimal"] = "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15, 4)) AS DOUBLE) AS d, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey AS INTEGER) AS i FROM orders"
 TWO["fn_integer_division"] = (

@@ -41,20 +41,21 @@ def run(spark: SparkSession, statement: str) -> DataFrame | str | None:
     low = statement.lower()
     if low.startswith("explain analyze"):
         body = re.sub(r"(?i)^explain\s+analyze\s+(verbose\s+)?", "", statement)
-        report = explain.analyze(spark.sql(dialect.translate(body)))
+        report, tasks = explain.analyze_tasks(catalog.run(spark, body))
         detail = "\n".join(f"{k} = {v}" for k, v in sorted(report.metrics.items())) if "verbose" in low.split()[:3] else ""
-        return f"{report.plan}\nrows {report.rows}, {report.seconds:.3f} s\n{detail}".rstrip()
+        times = "\n".join(f"stage {s.stage}: {s.tasks} tasks, ms " + ", ".join(f"{k} {v:g}" for k, v in s.durations.items()) for s in tasks)
+        return f"{report.plan}\nrows {report.rows}, {report.seconds:.3f} s\n{times}\n{detail}".rstrip()
     if m := re.fullmatch(r"(?is)show\s+columns\s+from\s+(\w+)", statement):
         return catalog.show_columns(spark, m[1])
     if low.startswith("set "):
         set_option(spark, statement)
         return None
     if m := re.match(r"(?is)copy\s*\((.*)\)\s*to\s*'([^']+)'\s*stored\s+as\s+(\w+)$", statement):
-        catalog.copy_to(spark.sql(dialect.translate(m[1])), m[2], m[3].lower())
+        catalog.copy_to(catalog.run(spark, m[1]), m[2], m[3].lower())
         return None
     text = re.sub(r"(?i)\bcreate\s+view\b", "CREATE OR REPLACE TEMP VIEW", statement)
     text = re.sub(r"(?i)\bfrom\s+'([^']+\.(parquet|csv|json|orc))'", lambda m: f"FROM {m[2].lower()}.`{m[1]}`", text)
-    df = spark.sql(text if "`" in text else dialect.translate(text))
+    df = catalog.run(spark, text)
     return df if df.columns else None
 
 

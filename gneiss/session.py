@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,7 @@ class EngineConfig:
     prefer_hash_joins: bool = False
     quoted_identifiers: bool = True  # "x" is a column, not a text
     time_zone: str = "UTC"
+    lenient: bool = False  # overflow wraps and bad casts give null instead of an error
     extra: dict[str, str] = field(default_factory=dict)
 
     def confs(self) -> dict[str, str]:
@@ -41,6 +43,7 @@ class EngineConfig:
             "spark.sql.execution.arrow.maxRecordsPerBatch": str(self.arrow_batch_rows),
             "spark.sql.ansi.doubleQuotedIdentifiers": flag(self.quoted_identifiers),
             "spark.sql.session.timeZone": self.time_zone,
+            "spark.sql.ansi.enabled": flag(not self.lenient),
         }
         if self.compression != "none":
             out["spark.io.compression.codec"] = self.compression
@@ -56,30 +59,53 @@ class EngineConfig:
         return spark
 
 
-def session(name: str = "gneiss", master: str | None = None, config: EngineConfig | None = None) -> SparkSession:
-    """A session with the configuration and the SQL functions of this library."""
+def session(name: str = "gneiss", master: str | None = None, config: EngineConfig | None = None, prepare: Iterable[Callable[[SparkSession], SparkSession | None]] = ()) -> SparkSession:
+    """A session with the configuration and the SQL functions of this library.  prepare: steps that
+    add to the session in order (functions, views, settings), each given what the one before returned."""
     from gneiss.functions.registry import register
 
-    builder = SparkSession.builder.appName(name).config(map=(config or EngineConfig()).confs())
+    config = config or EngineConfig()
+    builder = SparkSession.builder.appName(name).config(map=config.confs())
     if master:
         builder = builder.master(master)
     spark = builder.getOrCreate()
     register(spark)
+    _CONFIGS[_key(spark)] = config
+    for step in prepare:
+        spark = step(spark) or spark
     return spark
 
 
+_CONFIGS: dict[str, EngineConfig] = {}  # by session
+
+
+def _key(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
 def set_option(spark: SparkSession, statement: str) -> None:
-    """Runs SET statements, also with the engine's own names: SET gneiss.<field> = value."""
+    """Runs SET statements, also with the engine's own names: SET gneiss.<field> = value.  All settings
+    that the field stands for are set, whatever they were; a field that a running session cannot
+    change is an error."""
     text = statement.strip().rstrip(";")
     if not text.lower().startswith("set gneiss."):
         spark.sql(text)
         return
     name, _, value = text[len("set gneiss.") :].partition("=")
-    base = EngineConfig()
-    kind = type(getattr(base, name.strip()))
-    raw = value.strip().strip("'")
-    setattr(base, name.strip(), raw.lower() == "true" if kind is bool else kind(raw))
-    default = EngineConfig().confs()
-    for key, v in base.confs().items():
-        if default.get(key) != v and spark.conf.isModifiable(key):
-            spark.conf.set(key, v)
+    name, raw = name.strip(), value.strip().strip("'")
+    now = _CONFIGS.get(_key(spark)) or EngineConfig()
+    kinds = {f.name: type(getattr(now, f.name)) for f in fields(now) if f.name != "extra"}
+    if name not in kinds:
+        raise ValueError(f"no setting gneiss.{name}; there are {', '.join(sorted(kinds))}")
+    if kinds[name] is bool and raw.lower() not in {"true", "false"}:
+        raise ValueError(f"gneiss.{name} is true or false")
+    parsed = raw.lower() == "true" if kinds[name] is bool else kinds[name](raw)
+    other = not parsed if kinds[name] is bool else parsed + 1 if kinds[name] is int else parsed + "-"
+    then, with_other = replace(now, **{name: parsed}), replace(now, **{name: other})
+    wanted, against = then.confs(), with_other.confs()
+    for key in [k for k in wanted if wanted[k] != against.get(k) and k not in now.extra]:
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, wanted[key])
+        elif spark.conf.get(key, None) != wanted[key]:
+            raise ValueError(f"gneiss.{name} cannot be changed while the session runs")
+    _CONFIGS[_key(spark)] = then

@@ -1,4 +1,4 @@
-"""Table functions and a data source fed by work units."""
+"""Number ranges (in SQL: FROM numbers(start, end), see the dialect) and a data source fed by work units."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.functions import udtf
 
 
 def numbers(spark: SparkSession, start: int, end: int, per_task: int | None = None) -> DataFrame:
@@ -16,19 +15,6 @@ def numbers(spark: SparkSession, start: int, end: int, per_task: int | None = No
     return spark.range(start, end, 1, parts).withColumnRenamed("id", "number")
 
 
-@udtf(returnType="number: bigint")
-class Numbers:
-    """SELECT * FROM numbers(start, end)."""
-
-    def eval(self, start: int, end: int):
-        for n in range(start, end):
-            yield (n,)
-
-
-def register_udtfs(spark: SparkSession) -> None:
-    spark.udtf.register("numbers", Numbers)
-
-
 class Unit(InputPartition):
     def __init__(self, task: int, partition: int, operations: list[str]):
         super().__init__((task, partition))

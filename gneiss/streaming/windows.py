@@ -18,6 +18,18 @@ def tumbling(df: DataFrame, time: str, width: str, keys: list[str], late: str |
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("bin"), *keys, "n", "total")
 
 
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, late: str | None = None) -> DataFrame:
+    """Rows of both sides with the same key whose right time is at most `within` behind the left one;
+    of tables or of two streams, which keep rows no longer than the watermarks (`late`) and the
+    interval demand.  Columns must differ but for the key."""
+    a, b = left.withColumn("_left", F.col(left_time).cast("timestamp")), right.withColumn("_right", F.col(right_time).cast("timestamp"))
+    if late:
+        a, b = a.withWatermark("_left", late), b.withWatermark("_right", late)
+    b = b.withColumnRenamed(key, "_key")
+    near = (F.col("_right") >= F.col("_left")) & (F.col("_right") <= F.col("_left") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (a[key] == b["_key"]) & near, "inner").drop("_left", "_right", "_key")
+
+
 def sessions(df: DataFrame, time: str, gap: str, key: str, late: str | None = None) -> DataFrame:
     rows = df.withColumn("_time", F.col(time).cast("timestamp"))
     rows = rows.withWatermark("_time", late) if late else rows

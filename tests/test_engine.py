@@ -1,16 +1,21 @@
 """Session, catalogue, dialect, sources, operators, plans and streams."""
 
 import datetime
+import random
 import re
+import threading
+import time
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gneiss import catalog, session
+from gneiss import catalog, console, context, session
 from gneiss.functions import dialect, registry
 from gneiss.operators import aggregates, distribution, joins
-from gneiss.plans import compare, explain
+from gneiss.plans import compare, explain, relational, sampler, suites
+from gneiss.plans.handlers import Handlers
 from gneiss.sources import numbers
 from gneiss.streaming import windows
 
@@ -30,25 +35,48 @@ def test_config_maps_to_spark_settings():
 
 
 def test_set_statements(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
     session.set_option(spark, "SET gneiss.broadcast_joins = false")
-    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
-    session.set_option(spark, f"SET spark.sql.autoBroadcastJoinThreshold = {before}")
-    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert spark.conf.get(key) == "-1"
+    session.set_option(spark, "SET gneiss.broadcast_bytes = 1234")
+    assert spark.conf.get(key) == "-1"
+    session.set_option(spark, "SET gneiss.broadcast_joins = true;")
+    assert spark.conf.get(key) == "1234"
+    session.set_option(spark, f"SET gneiss.broadcast_bytes = {10 << 20}")
+    assert spark.conf.get(key) == str(10 << 20)
+    session.set_option(spark, f"SET {key} = {before}")
+    assert spark.conf.get(key) == before
+    session.set_option(spark, "SET gneiss.lenient = true")
+    assert spark.sql("SELECT CAST('x' AS INT) AS a").first().a is None
+    session.set_option(spark, "SET gneiss.lenient = false")
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT CAST('x' AS INT) AS a").collect()
+    for wrong in ("SET gneiss.nothing = 1", "SET gneiss.adaptive = maybe"):
+        with pytest.raises(ValueError):
+            session.set_option(spark, wrong)
+
+
+def test_session_steps_run_in_order(spark):
+    seen = []
+    steps = [lambda s: seen.append("first"), lambda s: s.createDataFrame([(4,)], "n int").createOrReplaceTempView("prepared"), lambda s: seen.append(s.table("prepared").first().n)]
+    out = session.session("tests", None, session.EngineConfig(extra={"spark.ui.enabled": "false"}), steps)
+    assert out is not None and seen == ["first", 4]
 
 
 def test_hive_partitions_prune_and_copy(spark, tmp_path):
-    rows = [(d, f"host-{d}", i) for d in "ABCD" for i in range(3)]
-    catalog.write_partitioned(spark.createDataFrame(rows, "d_dkey string, host string, n int"), str(tmp_path / "dim"), ["d_dkey"], ["n"])
-    df = catalog.register_parquet(spark, "dim", str(tmp_path / "dim"), {"d_dkey": "string"})
-    one = spark.sql("SELECT host, n FROM dim WHERE d_dkey = 'B' ORDER BY n")
-    assert [tuple(r) for r in one.collect()] == [("host-B", i) for i in range(3)] and df.count() == 12
-    assert "PartitionFilters: [isnotnull(d_dkey" in plan(one).replace("\n", "")
+    rows = [(season, f"{season}-{k}", 10 * k) for season in ("dry", "mild", "wet") for k in range(4)]
+    path = str(tmp_path / "seasons")
+    catalog.write_partitioned(spark.createDataFrame(rows, "season string, station string, depth int"), path, ["season"], ["depth"])
+    df = catalog.register_parquet(spark, "seasons", path, {"season": "string"})
+    one = spark.sql("SELECT station, depth FROM seasons WHERE season = 'mild' ORDER BY depth")
+    assert [tuple(r) for r in one.collect()] == [(f"mild-{k}", 10 * k) for k in range(4)] and df.count() == 12
+    assert "PartitionFilters: [isnotnull(season" in plan(one).replace("\n", "")
     catalog.copy_to(one, str(tmp_path / "csv"), "csv", options={"header": "true"})
-    assert catalog.register_csv(spark, "c", str(tmp_path / "csv"), "host string, n int").count() == 3
+    assert catalog.register_csv(spark, "c", str(tmp_path / "csv"), "station string, depth int").count() == 4
     catalog.copy_to(one, str(tmp_path / "json"), "json")
-    assert catalog.register_json(spark, "j", str(tmp_path / "json")).count() == 3
-    assert catalog.from_path(spark, str(tmp_path / "dim")).count() == 12
+    assert catalog.register_json(spark, "j", str(tmp_path / "json")).count() == 4
+    assert catalog.from_path(spark, path).count() == 12
 
 
 def test_views_columns_and_cache(spark, sf_dir):
@@ -74,7 +102,11 @@ def test_scan_reads_only_what_it_needs(spark, sf_dir):
 def test_dialect_rewrites():
     assert dialect.translate('SELECT "MinTemp" FROM "we""ird"') == 'SELECT `MinTemp` FROM `we"ird`'
     assert dialect.translate(r"SELECT regexp_replace(x, '(a\.b)', '\1-\1'), '\1'") == r"SELECT regexp_replace(x, '(a\\.b)', '$1-$1'), '\1'"
-    assert dialect.translate("SELECT to_timestamp_seconds(t)") == "SELECT timestamp_seconds(t)"
+    assert dialect.translate("SELECT concat(a, concat(b)) , `concat`(x)") == "SELECT concat_ws('', a, concat_ws('', b)) , `concat`(x)"
+    assert dialect.translate("SELECT a / 2, b / 2, x.a / y.a, f(a) / 2, a / 2.0, 1.5 / 2, 7 / 2", {"a"}) == "SELECT a div 2, b / 2, x.a div y.a, f(a) / 2, a / 2.0, 1.5 / 2, 7 div 2"
+    assert dialect.translate("SELECT date_bin(INTERVAL '2 months', t), date_bin(INTERVAL '1' YEAR, t)").replace(" ", "") == "SELECTdate_bin_months(2,t),date_bin_months(12,t)"
+    assert dialect.translate("SELECT `a``b` FROM `t` ORDER BY `x` DESC") == "SELECT `a``b` FROM `t` ORDER BY `x` DESC NULLS FIRST"
+    assert dialect.translate("SELECT * FROM numbers(1, 2 + 3) n, u") == "SELECT * FROM (SELECT id AS number FROM range(1, 2 + 3)) n, u"
     assert dialect.translate("SELECT a FROM t ORDER BY a DESC, b LIMIT 3") == "SELECT a FROM t ORDER BY a DESC NULLS FIRST, b NULLS LAST LIMIT 3"
     assert dialect.translate("SELECT rank() OVER (PARTITION BY x ORDER BY f(y, 1)) FROM t ORDER BY 1 NULLS FIRST") == "SELECT rank() OVER (PARTITION BY x ORDER BY f(y, 1) NULLS LAST) FROM t ORDER BY 1 NULLS FIRST"
     assert dialect.translate("SELECT 'it''s ORDER BY x' -- ORDER BY y\n") == "SELECT 'it''s ORDER BY x' -- ORDER BY y\n"
@@ -88,6 +120,13 @@ def test_translated_text_runs(spark):
 
 def test_registered_functions(spark):
     registry.register(spark)
+    ts = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-15 13:14:15.678901' AS t")
+    bins = [(datetime.timedelta(milliseconds=250), "1970-01-01 00:00:00"), (datetime.timedelta(days=7), "2001-01-03 05:00:00"), (3, "1999-02-01 00:00:00"), (1, "2024-01-20 00:00:00"), (datetime.timedelta(hours=5), "2030-01-01 00:00:00")]
+    got = ts.select(*[registry.date_bin(w, F.col("t"), o).alias(f"b{i}") for i, (w, o) in enumerate(bins)]).first()
+    want = ["2024-03-15T13:14:15.500000", "2024-03-13T05:00:00", "2024-02-01T00:00:00", "2024-02-20T00:00:00"]
+    origin, t, w = datetime.datetime(2030, 1, 1), datetime.datetime(2024, 3, 15, 13, 14, 15, 678901), bins[4][0]
+    want.append((origin + (t - origin) // w * w).isoformat())
+    assert [x.isoformat() for x in got] == want
     row = spark.sql("SELECT date_bin(INTERVAL '30' SECOND, TIMESTAMP_NTZ '2024-01-02 03:04:59') AS a, to_timestamp_seconds(86401) AS b, concat_lenient('x', NULL) AS c").first()
     assert row.a == datetime.datetime(2024, 1, 2, 3, 4, 30) and row.b == datetime.datetime(1970, 1, 2, 0, 0, 1) and row.c == "x"
 
@@ -102,14 +141,14 @@ def test_integer_division_truncates(spark):
 
 @pytest.fixture
 def sides(spark):
-    """Ids 0 to 99 in 4 partitions of 25; each id 50 times, its partitions rotated by one."""
-    build = spark.range(0, 100, 1, 4)
-    probe = build.select(F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n"), F.pmod(F.col("id") + 25, F.lit(100)).alias("id")).select("id")
+    """Even numbers below 160 in 5 partitions; each 30 times, dealt in another order."""
+    build = spark.range(0, 160, 2, 5)
+    probe = build.select(F.explode(F.sequence(F.lit(1), F.lit(30))).alias("n"), F.pmod(F.col("id") * 3, F.lit(160)).alias("id")).select("id")
     return build, probe
 
 
 @pytest.mark.parametrize("strategy", [None, "broadcast", "merge", "shuffle_hash"])
-@pytest.mark.parametrize("how,rows", [("inner", 5000), ("left", 5000), ("full", 5000), ("left_semi", 100), ("left_anti", 0)])
+@pytest.mark.parametrize("how,rows", [("inner", 2400), ("left", 2400), ("full", 2400), ("left_semi", 80), ("left_anti", 0)])
 @pytest.mark.parametrize("adaptive,parts", [(True, 4), (False, 1), (False, 16)])
 def test_joins_agree(spark, sides, strategy, how, rows, adaptive, parts):
     build, probe = sides
@@ -143,11 +182,11 @@ def test_null_aware_anti_join(spark):
 
 def test_salted_and_small_broadcasts(spark, sides):
     build, probe = sides
-    assert joins.salted(probe, build, "id", 3).count() == 5000 and joins.salted(probe, build, "id", 3, "left_anti").count() == 0
+    assert joins.salted(probe, build, "id", 3).count() == 2400 and joins.salted(probe, build, "id", 3, "left_anti").count() == 0
     with pytest.raises(ValueError):
         joins.salted(probe, build, "id", 3, "full")
-    assert "BroadcastHashJoin" in plan(probe.join(joins.broadcast_if_small(build, 100), "id"))
-    assert joins.broadcast_if_small(build, 99) is build
+    assert "BroadcastHashJoin" in plan(probe.join(joins.broadcast_if_small(build, 80), "id"))
+    assert joins.broadcast_if_small(build, 79) is build
 
 
 def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
@@ -169,11 +208,11 @@ def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
 
 
 def test_first_by_never_gives_null_across_files(spark, tmp_path):
-    rows = [(1, "trace1", 100), (2, "trace2", 200), (3, "trace3", 300), (4, "trace4", 400)]
-    for k in (0, 2):
-        spark.createDataFrame(rows[k : k + 2], "group_id int, trace_id string, value int").coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
-    got = spark.read.parquet(str(tmp_path / "r")).groupBy("group_id").agg(aggregates.first_by("trace_id", "value").alias("t"), aggregates.first_by("value", "value").alias("v"))
-    assert sorted(map(tuple, got.collect())) == [(i, t, v) for i, t, v in rows]
+    rows = [(k, f"berth {k * k}", 7 * k + 1) for k in (11, 12, 13, 14, 15, 16)]
+    for half in (rows[::2], rows[1::2]):
+        spark.createDataFrame(half, "ship int, berth string, hour int").coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+    got = spark.read.parquet(str(tmp_path / "r")).groupBy("ship").agg(aggregates.first_by("berth", "hour").alias("t"), aggregates.first_by("hour", "hour").alias("v"))
+    assert sorted(map(tuple, got.collect())) == rows
 
 
 def test_two_level_rejects_nothing_it_cannot_merge(spark):
@@ -184,7 +223,42 @@ def test_two_level_rejects_nothing_it_cannot_merge(spark):
 def test_shares_follow_weights_and_caps():
     assert distribution.shares([1, 1, 1], 7) == [3, 2, 2]
     assert distribution.shares([8, 1, 1], 10, [4, None, None]) == [4, 3, 3]
-    assert distribution.shares([0.0, 5.0], 4) == [1, 4] or sum(distribution.shares([0.0, 5.0], 4)) >= 4
+    assert distribution.shares([0.0, 5.0], 4) == [0, 4] and distribution.shares([1] * 5, 3) == [1, 1, 1, 0, 0]
+    assert distribution.shares([0, 0], 3) == [2, 1] and distribution.shares([3, 1], 6, [2, 1]) == [2, 1]
+    rng = random.Random(2)
+    for _ in range(300):
+        n, budget = rng.randint(1, 7), rng.randint(1, 20)
+        weights, most = [rng.choice([0, 0.5, 1, 3, 10]) for _ in range(n)], [rng.choice([None, 0, 1, 5]) for _ in range(n)]
+        got = distribution.shares(weights, budget, most)
+        cap = [budget if m is None else min(m, budget) for m in most]
+        assert sum(got) == min(budget, sum(cap)) and all(g <= c for g, c in zip(got, cap, strict=True))
+        if not any(m is not None for m in most) and sum(weights):
+            assert all(abs(g - budget * w / sum(weights)) < 1 for g, w in zip(got, weights, strict=True))
+
+
+def test_children_without_a_share_are_guests(spark):
+    out = distribution.isolated_union([spark.range(0, 40, 1, 4), spark.range(40, 50, 1, 4), spark.range(50, 60, 1, 4)], 2, [1.0, 1.0, 0.0])
+    assert out.rdd.getNumPartitions() == 2 and out.count() == 60
+    with pytest.raises(ValueError):
+        distribution.isolated_union([spark.range(3)], 2, None, [0])
+
+
+def test_task_counts_merge(spark):
+    count = distribution.TaskCount
+    assert (count(desired=3) | count(desired=8) | count(maximum=5) | count(maximum=6)) == count(8, 5)
+    assert count(8, 5).resolve(2) == 5 and count(3, 5).resolve(9) == 3 and count(None, 4).resolve(9) == 4 and count().resolve(9) == 9
+    assert distribution.with_task_count(spark.range(0, 10, 1, 2), count(desired=5)).rdd.getNumPartitions() == 5
+
+
+def test_interleaved_children_need_one_shuffle_each(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = distribution.interleaved([spark.range(100), spark.range(50, 70)], 6, "id").groupBy("id").agg(F.count("*").alias("n"))
+        assert plan(out).count("Exchange") == 2
+        assert out.filter("n = 2").count() == 20 and out.count() == 100
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def test_union_keeps_children_apart(spark):
@@ -198,8 +272,8 @@ def test_union_keeps_children_apart(spark):
 def test_numbers_split_over_tasks(spark):
     df = numbers.numbers(spark, 0, 10, 3)
     assert df.rdd.getNumPartitions() == 4 and [r.number for r in df.collect()] == [*range(10)]
-    numbers.register_udtfs(spark)
-    assert spark.sql("SELECT sum(number) AS s FROM numbers(1, 5)").first().s == 10
+    assert catalog.run(spark, "SELECT sum(number) AS s FROM numbers(1, 5)").first().s == 10
+    assert catalog.run(spark, "SELECT number FROM numbers(0, 1000)").rdd.getNumPartitions() > 1
 
 
 def test_work_units_make_rows_and_tell_errors(spark):
@@ -223,6 +297,84 @@ def test_stages_and_report(spark, sf_dir):
     assert explain.percentiles([3.0, 1.0, 2.0, 4.0]) == {"min": 1.0, "max": 4.0, "avg": 2.5, "p50": 2.0, "p75": 3.0, "p95": 4.0, "p99": 4.0}
 
 
+def test_metrics_of_every_task(spark, sf_dir):
+    df = catalog.query(spark, sf_dir, "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+    report, stages = explain.analyze_tasks(df)
+    assert report.rows == df.count() and stages and all(s.tasks == len(s.per_task) for s in stages)
+    assert sum(t["rows_read"] for t in stages[0].per_task) == catalog.table(spark, sf_dir, "lineitem").count()
+    assert sum(t["bytes_written"] for t in stages[0].per_task) > 0
+    assert all(s.durations["min"] <= s.durations["p50"] <= s.durations["p99"] <= s.durations["max"] for s in stages)
+
+
+def test_handlers_run_in_order(spark):
+    handlers, seen = Handlers(), []
+    handlers.rewrite(lambda df: seen.append(1) or df.filter("id > 2"))
+    handlers.rewrite(lambda df: seen.append(2))
+    handlers.rewrite(lambda df: seen.append(3) or df.withColumn("id", F.col("id") * 2))
+    assert [r.id for r in handlers.apply(spark.range(5)).collect()] == [6, 8] and seen == [1, 2, 3]
+    handlers.rewrite(lambda df: df.withColumn("more", F.lit(1)))
+    with pytest.raises(ValueError):
+        handlers.apply(spark.range(5))
+    handlers.decide("tasks", lambda df: 9, built_in=True)
+    handlers.decide("tasks", lambda df: None)
+    handlers.decide("tasks", lambda df: 4)
+    handlers.decide("tasks", lambda df: 5)
+    assert handlers.first("tasks", spark.range(1)) == 4 and handlers.first("other", spark.range(1)) is None
+
+
+def test_headers_reach_tasks(spark):
+    def told(batches):
+        for batch in batches:
+            yield pd.DataFrame({"h": [str(context.header("tenant"))] * len(batch)})
+
+    def seen():
+        return {r.h for r in spark.range(0, 8, 1, 2).mapInPandas(told, "h string").collect()}
+
+    with context.headers(spark, tenant="blue"):
+        assert seen() == {"blue"}
+    assert seen() == {"None"} and context.header("tenant") is None
+
+
+def test_kept_state_expires():
+    now = [0.0]
+    kept = context.Kept(idle=10, most=2, clock=lambda: now[0])
+    made = []
+    get = lambda k: kept.get(k, lambda: made.append(k) or k.upper())
+    assert [get("a"), get("a"), get("b")] == ["A", "A", "B"] and made == ["a", "b"]
+    now[0] = 9
+    get("a")
+    now[0] = 11  # b has been idle for too long
+    assert len(kept) == 1 and get("a") == "A" and made == ["a", "b"]
+    get("c"), get("d")
+    assert len(kept) == 2 and get("a") == "A" and made == ["a", "b", "c", "d", "a"]
+    kept.forget("a")
+    assert len(kept) == 1
+
+
+def test_sampler_reads_heads_only(spark):
+    df = spark.range(0, 1000, 1, 4).select("id", F.when(F.col("id") % 4 != 0, (F.col("id") % 10).cast("string")).alias("s"), F.array("id").alias("list"))
+    got = {r.name: r for r in sampler.profile(df, rows=100).collect()}
+    assert all(r.partitions == 4 and r.rows == 400 and not r.complete for r in got.values())
+    assert got["s"].null_share == 0.25 and got["id"].distinct_share == 1 and got["id"].mean_bytes == 8 and got["list"].distinct_share is None
+    assert all(r.complete for r in sampler.profile(df, rows=250).collect())
+    assert sampler.profile(df.filter("id < 0")).count() == 0
+
+
+def test_console_tells_what_runs(spark):
+    seen = []
+
+    def slow(batches):
+        time.sleep(1.5)
+        yield from batches
+
+    job = threading.Thread(target=lambda: spark.range(0, 4, 1, 2).mapInPandas(slow, "id long").collect())
+    job.start()
+    console.watch(spark, lambda: not job.is_alive(), 0.2, seen.append)
+    job.join()
+    assert any("/2 (" in s for s in seen) and console.render([]) == "idle"
+    assert all(0 <= used <= most for used, most in console.executors(spark).values())
+
+
 def test_plan_shapes(spark, sf_dir):
     catalog.register_tables(spark, sf_dir, ["orders", "lineitem"])
     assert "TakeOrderedAndProject" in plan(spark.sql("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5"))
@@ -238,6 +390,59 @@ def test_comparator():
     assert compare.is_sorted([(None,), (2,), (1,)], [(0, True, True)])
 
 
+def keys_of(sql, columns):
+    """The sort keys of a statement's last ORDER BY outside of parentheses, by output column; None if
+    it has none or sorts by something that is not an output column."""
+    depth, at = 0, None
+    parts = dialect.tokens(dialect.translate(sql))
+    for i, t in enumerate(parts):
+        depth += (t == "(") - (t == ")")
+        if depth == 0 and t.lower() == "order":
+            at = i
+    if at is None:
+        return None
+    text = re.sub(r"(?is)\b(limit|offset)\b.*", "", "".join(parts[at:]))[len("order"):].strip()[2:]
+    out = []
+    for key in re.split(r",(?![^(]*\))", text):
+        m = re.fullmatch(r"(?is)\s*([`\w. ]+?)\s*(asc|desc)?\s*nulls\s+(first|last)\s*", key)
+        name = m and m[1].strip("` ").split(".")[-1].strip("`")
+        if not m or (name not in columns and not name.isdigit()):
+            return None
+        out.append((int(name) - 1 if name.isdigit() else columns.index(name), (m[2] or "").lower() == "desc", m[3].lower() == "first"))
+    return out
+
+
+def ordered_queries():
+    text = relational.SHARED | suites.TPCH | suites.CLICKS | suites.STAR | {k: v for k, (v, _) in (relational.TWO | suites.CLICKS_TWO).items()}
+    return {k: v for k, v in text.items() if re.search(r"(?i)\border\s+by\b", v)}
+
+
+def test_order_of_results(spark, sf_dir):
+    checked = []
+    for name, sql in sorted(ordered_queries().items()):
+        df = catalog.query(spark, sf_dir, sql)
+        keys = keys_of(sql, df.columns)
+        if keys:
+            assert compare.is_sorted([tuple(r) for r in df.collect()], keys), name
+            checked.append(name)
+    assert len(checked) >= 60 and {"dialect_null_order_asc", "dialect_null_order_desc", "tpch_q1", "tpch_q9"} <= set(checked)
+
+
+def test_streams_join_as_tables_do(spark, sf_dir, tmp_path):
+    events = catalog.table(spark, sf_dir, "events")
+    a = events.filter("event_id % 3 = 0").select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = events.filter("event_id % 3 = 1").select("user_id", F.col("event_id").alias("next_id"), F.col("ts").alias("next_ts"))
+    want = windows.interval_join(a, b, "user_id", "first_ts", "next_ts", "1 DAY")
+    for df, side in ((a, "a"), (b, "b")):
+        df.coalesce(1).write.parquet(str(tmp_path / side))
+    streams = [windows.event_stream(spark, str(tmp_path / side), df.schema) for df, side in ((a, "a"), (b, "b"))]
+    out = windows.interval_join(*streams, "user_id", "first_ts", "next_ts", "1 DAY", late="400 days")
+    run = out.writeStream.outputMode("append").format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = spark.table("near")
+    assert want.count() > 0 and not compare.differences(got.columns, got.collect(), want.columns, want.collect())
+
+
 def test_stream_equals_table(spark, sf_dir, tmp_path):
     events = catalog.table(spark, sf_dir, "events").select("ts", "event_type", "user_id", "value")
     events.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -21,4 +21,9 @@ def test_shell_runs_statements(spark, sf_dir, tmp_path, capsys, monkeypatch):
     repl.main(["--rc", "none", "-c", f"COPY (SELECT k FROM few) TO '{tmp_path}/out' STORED AS parquet; SET gneiss.broadcast_bytes = 1000"])
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "1000"
+    repl.main(["--rc", "none", "-c", "SET gneiss.broadcast_bytes = 10485760; CREATE VIEW odd AS SELECT nullif(k, 1) AS v FROM few", "--format", "csv"])
+    repl.main(["--rc", "none", "-c", "SELECT v FROM odd ORDER BY v; SELECT `v` FROM odd ORDER BY v; SELECT v FROM `odd` ORDER BY v DESC", "--format", "json"])
+    assert [line[6:-1] for line in capsys.readouterr().out.splitlines()] == ["0", "2", "null"] * 2 + ["null", "2", "0"]
+    repl.main(["--rc", "none", "-c", f"SELECT nullif(r_regionkey, 2) AS v FROM '{sf_dir}/region.parquet' ORDER BY v LIMIT 5", "--format", "json"])
+    assert capsys.readouterr().out.splitlines()[-1] == '{"v": null}'
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
