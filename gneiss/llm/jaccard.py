@@ -42,6 +42,8 @@ LONGEST = 8
 TARGET_RECALL = 0.99999
 SKETCH = 96  # min-hashes, two bytes of each in the sketch
 STEP = SKETCH // TREES  # a tree's sequence begins so many min-hashes behind that of the tree before
+AT_ONCE = 400_000  # shingles sorted together
+BLOCK_SHINGLES = 1_000_000  # of the sets of a block of classes, on the average
 UNSEEN = 3  # pairs at the threshold that may exist besides those found, in the estimate of the recall
 
 
@@ -101,25 +103,26 @@ def _class_of(shingles: np.ndarray) -> bytes:
 
 
 def fingerprints(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """doc_id, class (null without words) and sketch of every text: SKETCH min-hashes of two bytes each,
+    """doc_id, class (null without words), n (the set's size) and sketch of every text: SKETCH min-hashes of two bytes each,
     and the first ones again, so that each tree's sequence is a run of bytes of it."""
     rows = pick(df, doc_id=id_column, text=text_column)
 
     def run(batches):
         for batch in slices(batches, "text"):
             hashes, offset = word_hashes(strings(batch, "text"))
-            names, sketches = [], []
+            names, sizes, sketches = [], [], []
             for a, b in pairwise(offset.tolist()):
                 s = shingle_hashes(hashes[a:b], words)
+                sizes.append(len(s))
                 names.append(_class_of(s) if len(s) else None)
                 if not len(s):
                     sketches.append(None)
                     continue
                 short = (_signature(s) & np.uint32(0xFFFF)).astype(">u2")
                 sketches.append(np.concatenate([short, short[: LONGEST - STEP]]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "class", "n", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, class binary, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, class binary, n long, sketch binary")
 
 
 def _tie(agree: int):
@@ -224,24 +227,31 @@ def forest_ties(classes: DataFrame, threshold: float, block: int, target: float
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Exact intersection sizes of all pairs of two lists of sorted sets."""
+    """Exact intersection sizes of all pairs of two lists of sorted sets, by ranges of their elements
+    so that no more than about AT_ONCE are sorted together."""
     if len(x) * len(y) <= 16:
         return np.array([[len(np.intersect1d(p, q, assume_unique=True)) for q in y] for p in x], dtype=np.int64).reshape(len(x), len(y))
-    both = np.concatenate([*x, *y])
-    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    _, column, count = np.unique(both, return_inverse=True, return_counts=True)
-    shared = count > 1
-    place = np.cumsum(shared) - 1
-    use = shared[column]
-    owner, column = owner[use], place[column[use]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width, total = int(shared.sum()), np.zeros((len(x), len(y)), np.float64)
-    for at in range(0, width, 8192):
-        lo, hi = np.searchsorted(column, [at, at + 8192])
-        bits = np.zeros((len(x) + len(y), min(8192, width - at)), np.float32)
-        bits[owner[lo:hi], column[lo:hi] - at] = 1
-        total += bits[: len(x)] @ bits[len(x) :].T
+    sets = [*x, *y]
+    parts = -(-sum(map(len, sets)) // AT_ONCE)
+    total = np.zeros((len(x), len(y)), np.float64)
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]).astype(np.int64) for s in sets]
+    for k in range(parts):
+        some = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        _, column, count = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+        shared = count > 1
+        place = np.cumsum(shared) - 1
+        use = shared[column]
+        owner, column = owner[use], place[column[use]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = int(shared.sum())
+        for at in range(0, width, 8192):
+            lo, hi = np.searchsorted(column, [at, at + 8192])
+            bits = np.zeros((len(sets), min(8192, width - at)), np.float32)
+            bits[owner[lo:hi], column[lo:hi] - at] = 1
+            total += bits[: len(x)] @ bits[len(x) :].T
     return np.rint(total).astype(np.int64)
 
 
@@ -294,13 +304,14 @@ def _verify(threshold: float):
 def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, threshold: float = 0.8, block: int = 256) -> DataFrame:
     """doc_id, class_id, n_links and kept for every row of df."""
     prints = durable(fingerprints(df, id_column, text_column, words))
-    classes = prints.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc"), F.any_value("sketch").alias("sketch"))
+    classes = prints.filter("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("weight"), F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     ties, _ = forest_ties(classes, threshold, block)
     groups = durable(connected(ties, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("comp")))
 
     # the sets of all classes in groups, taken again from the texts of one document each
-    size = durable(groups.groupBy("comp").agg(F.count("*").alias("size")))
+    sets_of = groups.join(classes.select("cid", "n"), "cid").groupBy("comp")
+    size = durable(sets_of.agg(F.greatest(F.count("*"), F.ceil(F.sum("n") * block / BLOCK_SHINGLES)).alias("size")))
     wanted = durable(groups.join(if_small(size), "comp").join(classes.select("cid", "class", "weight", "doc"), "cid"))
     rows = pick(df, doc=id_column, text=text_column)
     needed = wanted.select("doc", "class", "comp", "size", "weight")

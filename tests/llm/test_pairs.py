@@ -125,9 +125,11 @@ def test_forest_shortens_prefixes_only_as_far_as_needed(spark):
     assert jaccard.depths(0.8)[-1] == jaccard.prefix_depth(0.8) and jaccard.depths(0.8)[0] == jaccard.LONGEST
 
 
-def test_overlaps_by_sets():
+@pytest.mark.parametrize("at_once", [400_000, 100])
+def test_overlaps_by_sets(monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (0, 1, 30, 200, 400, 7, 90)]
+    sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64) << np.uint64(55)) for n in (0, 1, 30, 200, 400, 7, 90)]
     assert (jaccard.overlaps(sets, sets) == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]).all()
 
 
