@@ -21,11 +21,13 @@ labels of an id count as toxic; repeated rows and other columns have no effect o
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,24 @@ from gneiss.llm.words import word_hashes
 
 BLOCK = 64
 FREQUENT = 0.06  # a term of more than this part of the examples has bounds
-QUERIES = 64  # handled together
+QUERIES = 64  # handled together, at most
+POSTINGS = 1_500_000  # read together, unless one query has more
 SLACK = 1e-6  # on bounds, which are of single precision
 LABEL_SHARE = 0.8  # of a vector's square, in the words that depend on the label
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in all binary values of a column, one after another, and how many are in each."""
+    chunks = column.chunks
+    size = np.concatenate([np.zeros(0, np.int64), *(pc.binary_length(c).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize for c in chunks)])
+    parts = []
+    for c in chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else [0]
+        if ends[-1] > ends[0]:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate([np.zeros(0, kind), *parts]), size.astype(np.int64)
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places begin[i], begin[i] + 1, ... (size[i] of them) one after another, and size."""
     end = np.cumsum(size)
@@ -95,17 +110,18 @@ class Index:
     def vectors(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors of n texts: offsets of each, rows (terms, then those of `label`) and weights."""
         w = (1 + np.log(count)) * self.idf[term]
-        row = np.minimum(np.searchsorted(self.label, term), max(0, len(self.label) - 1))
-        own = self.label[row] == term if len(self.label) else np.zeros(len(term), bool)
+        row = np.full(len(self.terms) + 1, -1, np.int32)
+        row[self.label] = np.arange(len(self.label)) + len(self.terms)
+        row = row[term]
+        own = row >= 0
         whole = np.bincount(text, weights=w * w, minlength=n)
         part = np.bincount(text[own], weights=w[own] ** 2, minlength=n)
         one = np.sqrt(np.where(part > 0, 1 - LABEL_SHARE, 1.0) / np.where(whole > 0, whole, 1))
         two = np.sqrt(LABEL_SHARE / np.where(part > 0, part, 1))
-        text = np.concatenate([text, text[own]])
+        weights = np.concatenate([w * one[text], w[own] * two[text[own]]])
+        rows, text = np.concatenate([term.astype(np.int32), row[own]]), np.concatenate([text, text[own]])
         order = np.argsort(text, kind="stable")
-        rows = np.concatenate([term, row[own] + len(self.terms)])[order]
-        weights = np.concatenate([w * one[text[: len(w)]], w[own] * two[text[len(w) :]]])[order]
-        return np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]), rows, weights
+        return np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]), rows[order], weights[order]
 
     def build(self, offset: np.ndarray, rows: np.ndarray, weights: np.ndarray, lines: int) -> None:
         """The index of unit vectors in the order of places, over rows 0 to lines - 1."""
@@ -127,11 +143,15 @@ class Index:
     def nearest(self, offset: np.ndarray, rows: np.ndarray, weights: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, place and cosine of the k nearest examples that share a term with each of the queries
         (vectors as from `vectors`), the nearest first; skip: a place that is left out, for each."""
-        out = []
-        for a in range(0, len(offset) - 1, QUERIES):
-            some = offset[a : a + QUERIES + 1]
-            got = self._nearest(some - some[0], rows[some[0] : some[-1]], weights[some[0] : some[-1]], None if skip is None else skip[a : a + QUERIES])
+        out, a = [], 0
+        length = np.concatenate([[0], np.cumsum(self.pointer[rows + 1] - self.pointer[rows])])[offset]  # postings before each query
+        while a < len(offset) - 1:
+            b = int(np.searchsorted(length, length[a] + POSTINGS, side="right")) - 1
+            b = min(max(b, a + 1), a + QUERIES, len(offset) - 1)
+            some = offset[a : b + 1]
+            got = self._nearest(some - some[0], rows[some[0] : some[-1]], weights[some[0] : some[-1]], None if skip is None else skip[a:b])
             out.append((got[0] + a, got[1], got[2]))
+            a = b
         empty = np.zeros(0, np.int64)
         return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (empty, empty, np.zeros(0))
 
@@ -215,25 +235,32 @@ def fit(
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = rows.select("doc_id", "toxic", "text").mapInArrow(bags, f"doc_id {kind}, toxic int, words binary, counts binary").toArrow().sort_by("doc_id")
-    toxic = np.array(got.column("toxic").to_pylist(), dtype=np.int64)
-    docs = [(np.frombuffer(w, np.uint64), np.frombuffer(c, np.int32)) for w, c in zip(got.column("words").to_pylist(), got.column("counts").to_pylist(), strict=True)]
+    toxic, ids = np.array(got.column("toxic").to_pylist(), dtype=np.int64), got.column("doc_id").to_pylist()
+    words, size = _flat(got.column("words"), np.uint64)
+    counts, _ = _flat(got.column("counts"), np.int32)
     n = len(toxic)
+    del got
     rate = np.array([min(1.0, cap / max(1, have.get(v, 0))) for v in (0, 1)])
 
     # terms, and those of them that depend on the label
-    alone = list({(w.tobytes(), c.tobytes(), y): i for i, ((w, c), y) in enumerate(zip(docs, toxic.tolist(), strict=True))}.values())  # copies count once
-    every = np.concatenate([docs[i][0] for i in alone]) if alone else np.zeros(0, np.uint64)  # copies have no other words
-    word, where = np.unique(every, return_inverse=True)
-    with_label = np.repeat(toxic[alone], [len(docs[i][0]) for i in alone]) if alone else np.zeros(0, np.int64)
-    m, m1 = len(alone), int(toxic[alone].sum()) if alone else 0
-    a = np.bincount(where, weights=with_label, minlength=len(word)) if len(word) else np.zeros(0)
-    total = np.bincount(where, minlength=len(word)).astype(float) if len(word) else np.zeros(0)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    digest = [hashlib.blake2b(words[i:j].tobytes() + counts[i:j].tobytes() + bytes([y])).digest() for i, j, y in zip(edge, edge[1:], toxic.tolist(), strict=False)]
+    alone = np.zeros(n, bool)
+    alone[list({d: i for i, d in enumerate(digest)}.values())] = True  # copies count once
+    word, term = np.unique(words, return_inverse=True)
+    term, text = term.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), size)
+    del words, digest
+    own = alone[text]
+    m, m1 = int(alone.sum()), int(toxic[alone].sum())
+    a = np.bincount(term[own & (toxic[text] == 1)], minlength=len(word)).astype(float)
+    total = np.bincount(term[own], minlength=len(word)).astype(float)
     b = total - a
     below = (a + b) * (m - a - b) * m1 * (m - m1)
     chi = np.where(below > 0, m * (a * (m - m1 - b) - b * (m1 - a)) ** 2 / np.maximum(below, 1), 0)
     expected = total * min(m1, m - m1) / max(1, m)  # of the rarer label, were it independent
     kept = np.flatnonzero((chi >= chi_square) & (expected >= least_expected))
     kept = kept[np.argsort(-chi[kept], kind="stable")[:terms]]
+    del own, a, b, total, below, chi, expected
 
     # document frequencies of the terms over the whole corpus
     shared = spark.sparkContext.broadcast(word)
@@ -261,17 +288,16 @@ def fit(
     index = Index(word, idf, label=np.sort(kept))
     vote = np.where(toxic == 1, 1 / rate[1], 1 / rate[0]) if n else np.zeros(0)
     index.prior = float(vote @ toxic / vote.sum()) if n else 0.0
-    text = np.repeat(np.arange(n), [len(w) for w, _ in docs]) if n else np.zeros(0, np.int64)
-    bare = np.bincount(text, minlength=n) == 0
+    bare = size == 0
     index.empty = float((vote[bare] @ toxic[bare] + index.prior) / (vote[bare].sum() + 1)) if n else 0.0
-    term = np.searchsorted(word, np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in docs)]))
-    offset, rows_, weights = index.vectors(text, term, np.concatenate([np.zeros(0), *(c for _, c in docs)]), n)
+    offset, rows_, weights = index.vectors(text, term, counts, n)
+    del text, term, counts
     lines = len(word) + len(kept)
     order = _arranged(offset, rows_, lines, len(word))
     order = order[~bare[order]]
-    at, size = _ranges(offset[order], np.diff(offset)[order])
-    offset, rows_, weights = np.concatenate([[0], np.cumsum(size)]), rows_[at], weights[at]
-    ids = got.column("doc_id").to_pylist()
+    at, length = _ranges(offset[order], np.diff(offset)[order])
+    offset, rows_, weights = np.concatenate([[0], np.cumsum(length)]), rows_[at], weights[at]
+    del at
     index.example = np.array([ids[i] for i in order])
     index.toxic, index.vote = toxic[order].astype(float), vote[order]
     index.build(offset, rows_, weights, lines)
