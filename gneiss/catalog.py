@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -18,6 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Relations that queries use again and again and that are made from other tables.
+DERIVED = {
+    "partsupp": "SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey",
+}
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived relation, made once for a session and a folder and kept with the executors (in memory,
+    on disk beyond it); a lost part is made again.  forget() drops what is kept."""
+    key = (spark._jsparkSession.sessionUUID(), sf_dir, name)
+    if key not in _kept:
+        register_tables(spark, sf_dir, tables_in(DERIVED[name]))
+        _kept[key] = spark.sql(DERIVED[name]).persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key]
+
+
+def forget(spark: SparkSession) -> None:
+    for key in [k for k in _kept if k[0] == spark._jsparkSession.sessionUUID()]:
+        _kept.pop(key).unpersist()
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> None:
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -33,6 +56,9 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a statement, in this library's dialect, over the tables of a folder."""
     names = tables_in(sql)
     register_tables(spark, sf_dir, names)
+    for name in DERIVED:
+        if re.search(rf"(?i)\b{name}\b", sql):
+            derived(spark, sf_dir, name).createOrReplaceTempView(name)
     return run(spark, sql, names)
 
 

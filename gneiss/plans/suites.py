@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-#: the part-supplier relation that the tables lack, taken from line items
-PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
+PS = "partsupp"
 
 TPCH: dict[str, str] = {
     "tpch_q1": """

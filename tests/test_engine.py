@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gneiss import catalog, console, context, session
 from gneiss.functions import dialect, registry
 from gneiss.operators import aggregates, distribution, joins
-from gneiss.plans import compare, explain, relational, sampler, suites
+from gneiss.plans import compare, explain, relational, sampler, star, suites
 from gneiss.plans.handlers import Handlers
 from gneiss.sources import numbers
 from gneiss.streaming import windows
@@ -413,7 +413,7 @@ def keys_of(sql, columns):
 
 
 def ordered_queries():
-    text = relational.SHARED | suites.TPCH | suites.CLICKS | suites.STAR | {k: v for k, (v, _) in (relational.TWO | suites.CLICKS_TWO).items()}
+    text = relational.SHARED | suites.TPCH | suites.CLICKS | suites.STAR | star.STAR | {k: v for k, (v, _) in (relational.TWO | suites.CLICKS_TWO).items()}
     return {k: v for k, v in text.items() if re.search(r"(?i)\border\s+by\b", v)}
 
 
