@@ -22,6 +22,7 @@ repeated rows and other columns have no effect.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -114,8 +115,8 @@ def scan(
     df_of = frequencies(df, vocabulary, text_column) if vocabulary else {}
     ranked = sorted(vocabulary, key=lambda w: (df_of.get(w, 0), w))
     index = prefix_index(sets, {w: i for i, w in enumerate(ranked)}, threshold)
-    prefixes = _strings(sorted({entry[0] for entry in index}))
-    index = if_small(spark.createDataFrame(index, "token string, t int, label string, tokens array<string>, prefix array<string>, need int, marks array<string>, variants array<int>"))
+    prefixes = _strings(sorted({entry["token"] for entry in index}))
+    index = if_small(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), f"array<struct<{', '.join(f'{n}: {k}' for n, k in INDEX.items())}>>"))))
 
     rows = pick(df, doc_id=id_column, text=text_column).withColumn("words", words_of(F.col("text")))
     words = F.col("words")
@@ -164,7 +165,10 @@ def scan(
     return rows.select("*", base.alias("base_labels"), F.array_sort(F.array_distinct(F.concat(base, own))).alias("labels"))
 
 
-def prefix_index(sets: list[tuple[str, list[str]]], rank: dict[str, int], threshold: float) -> list[tuple]:
+INDEX = {"token": "string", "t": "int", "label": "string", "tokens": "array<string>", "prefix": "array<string>", "need": "int", "marks": "array<string>", "variants": "array<int>"}
+
+
+def prefix_index(sets: list[tuple[str, list[str]]], rank: dict[str, int], threshold: float) -> list[dict]:
     """A row for each prefix token of each template: token, number and label of the template, its tokens
     in the global order, its prefix, how many must be shared, the words of the label among the tokens,
     and the templates that share `threshold` of its tokens."""
@@ -175,5 +179,5 @@ def prefix_index(sets: list[tuple[str, list[str]]], rank: dict[str, int], thresh
         prefix = tokens[: len(tokens) - need + 1]
         marks = [w for w in split_words(label) if w in tokens]
         variants = [o for o, (_, other) in enumerate(sets) if o != t and len(set(tokens) & set(other)) >= need]
-        out += [(token, t, label, tokens, prefix, need, marks, variants) for token in prefix]
+        out += [dict(zip(INDEX, (token, t, label, tokens, prefix, need, marks, variants), strict=True)) for token in prefix]
     return out
