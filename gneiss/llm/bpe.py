@@ -434,7 +434,7 @@ def text_encoder(path: str, backtracking: bool) -> TextEncoder:
     """One encoder per Python worker and vocabulary."""
     v = vocabulary(path)
     words = BacktrackingEncoder(v) if backtracking else MergeEncoder(v)
-    return TextEncoder(v, words, spaced=not v.suffix, normalise=lowered if v.suffix else None)
+    return TextEncoder(v, words, spaced=not v.suffix, normalise=lowered if v.suffix else None, keep=900_000 if backtracking else 300_000)
 
 
 @lru_cache(4)
