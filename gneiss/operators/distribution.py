@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.joins import apart
+
 
 def by_hash(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
@@ -55,8 +57,8 @@ def isolated_union(children: list[DataFrame], budget: int, weights: list[float]
         for g in guests[turn :: len(owners)]:
             part = part.unionByName(children[g])
         part = part.coalesce(count[i])
-        if alone:  # Spark would put children of one partition each into one task; an Expand hides that
-            part = part.withColumn("__one", F.lit(1)).unpivot(children[i].columns, ["__one"], "__name", "__value").select(*children[i].columns)
+        if alone:
+            part = apart(part)
         out = part if out is None else out.unionByName(part)
     return out
 

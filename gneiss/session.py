@@ -24,6 +24,7 @@ class EngineConfig:
     prefer_hash_joins: bool = False
     quoted_identifiers: bool = True  # "x" is a column, not a text
     time_zone: str = "UTC"
+    declared_order: bool = True  # bucketed tables of one file a bucket are taken as sorted
     lenient: bool = False  # overflow wraps and bad casts give null instead of an error
     extra: dict[str, str] = field(default_factory=dict)
 
@@ -43,6 +44,7 @@ class EngineConfig:
             "spark.sql.execution.arrow.maxRecordsPerBatch": str(self.arrow_batch_rows),
             "spark.sql.ansi.doubleQuotedIdentifiers": flag(self.quoted_identifiers),
             "spark.sql.session.timeZone": self.time_zone,
+            "spark.sql.legacy.bucketedTableScan.outputOrdering": flag(self.declared_order),
             "spark.sql.ansi.enabled": flag(not self.lenient),
         }
         if self.compression != "none":

@@ -196,7 +196,9 @@ def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         out = joins.bucketed_join(spark, "b_orders", "b_lineitem", "k")
-        assert "Exchange hashpartitioning" not in plan(out)
+        assert "Exchange hashpartitioning" not in plan(out) and "SortMergeJoin" in plan(out) and "Sort [" not in plan(out)
+        grouped = spark.table("b_lineitem").groupBy("k").agg(F.count("*").alias("n"))
+        assert "Exchange" not in plan(grouped)
         assert out.count() == catalog.table(spark, sf_dir, "lineitem").join(catalog.table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey")).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -204,6 +206,26 @@ def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
             spark.sql(f"DROP TABLE {name}")
 
 
+def test_folders_join_without_shuffle(spark, tmp_path):
+    left = [(v, i, f"{v}{i}") for v in ("a b", "c", "d/e") for i in range(6)] + [(None, 9, "none")]
+    right = [(v, i % 3, 10 * i) for v in ("a b", "d/e", "f") for i in range(5)] + [(None, 0, 7)]
+    paths = []
+    for name, rows, schema in (("l", left, "k string, n int, x string"), ("r", right, "k string, n int, y int"), ("s", right, "k string, m int, y int")):
+        catalog.write_partitioned(spark.createDataFrame(rows, schema), str(tmp_path / name), ["k"])
+        paths.append(str(tmp_path / name))
+    a, b, c = (spark.read.parquet(p) for p in paths)
+    assert joins.folder_values(spark, paths[0], "k") == ["__HIVE_DEFAULT_PARTITION__", "a b", "c", "d/e"]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        for on in ([], ["n"]):
+            got = joins.folder_join(spark, paths[0], paths[1 if on else 2], "k", on, how)
+            want = a.join(b if on else c, ["k", *on], how)
+            assert not compare.differences(got.columns, got.collect(), want.columns, want.collect()), (how, on)
+            assert "Exchange" not in plan(got)
+    assert joins.folder_join(spark, paths[0], paths[2], "k").rdd.getNumPartitions() == 2
+    with pytest.raises(ValueError):
+        joins.folder_join(spark, paths[0], paths[2], "k", [], "full")
+
+
 # ------------------------------------------------------------------ aggregates, placement
 
 
@@ -297,6 +319,17 @@ def test_stages_and_report(spark, sf_dir):
     assert explain.percentiles([3.0, 1.0, 2.0, 4.0]) == {"min": 1.0, "max": 4.0, "avg": 2.5, "p50": 2.0, "p75": 3.0, "p95": 4.0, "p99": 4.0}
 
 
+def test_headline_queries_prune_columns_and_push_filters(spark, sf_dir):
+    widths = {t[0]: len(catalog.table(spark, sf_dir, t).columns) for t in ("lineitem", "orders", "customer", "part")}
+    for name, sql in suites.TPCH.items():
+        text = plan(catalog.query(spark, sf_dir, sql))
+        scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?PushedFilters: \[(.)", text, re.S)
+        assert scans, name
+        for columns, _ in scans:
+            assert len(columns.split(",")) < widths.get(columns[0], 99), (name, columns)
+        assert any(first != "]" for _, first in scans), name
+
+
 def test_metrics_of_every_task(spark, sf_dir):
     df = catalog.query(spark, sf_dir, "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
     report, stages = explain.analyze_tasks(df)
