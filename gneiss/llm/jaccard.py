@@ -63,7 +63,7 @@ def prefix_depth(threshold: float, target: float = TARGET_RECALL, trees: int = T
 def depths(threshold: float) -> list[int]:
     """The lengths of prefixes that the walk visits, down to the least useful one."""
     least = prefix_depth(threshold)
-    return sorted({LONGEST, *range(least, max(least, LONGEST - 2) + 1)}, reverse=True)
+    return sorted({LONGEST, (LONGEST + least) // 2, least}, reverse=True)
 
 
 def least_agreement(threshold: float) -> int:
