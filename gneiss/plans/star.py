@@ -135,7 +135,7 @@ sold AS (SELECT p_name, p_partkey, s_name, s_nationkey, cn.n_name AS home, sn.n_
 FROM {S} x, kept, part, supplier, customer, nation cn, nation sn, region cr, region sr WHERE l_partkey = kept.k AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND o_custkey = c_custkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey
 AND cn.n_regionkey = cr.r_regionkey AND sn.n_regionkey = sr.r_regionkey AND cr.r_name <> sr.r_name AND p_retailprice BETWEEN 905 AND 960 GROUP BY p_name, p_partkey, s_name, s_nationkey, cn.n_name, sn.n_name, d_year)
 SELECT a.p_partkey, a.s_name, a.home, a.shop, a.cnt AS c1, b.cnt AS c2, round(a.s1, 2) AS s11, round(b.s1, 2) AS s12 FROM sold a, sold b WHERE a.p_partkey = b.p_partkey AND a.d_year = 1998 AND b.d_year = 1999 AND b.cnt <= a.cnt AND a.s_name = b.s_name AND a.shop = b.shop
-ORDER BY a.p_partkey, a.s_name, a.home, b.home, s11, s12""",
+ORDER BY a.p_partkey, a.s_name, a.home, s11, s12""",
     "ds_q66": "SELECT shop, country, "
     + ", ".join(f"round(sum(m{m}), 2) AS m{m}, round(sum(m{m} / size), 6) AS per{m}" for m in (1, 2, 3, 12))
     + " FROM ("
