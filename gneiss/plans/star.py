@@ -93,7 +93,7 @@ SELECT c_name, n_name, round(sum(paid), 2) AS paid FROM ss WHERE p_brand IN ('Br
 SELECT p_partkey, round(avg(l_quantity), 4) AS agg1, round(avg(l_extendedprice), 4) AS agg2, round(avg(l_discount), 4) AS agg3, round(avg(l_tax), 4) AS agg4 FROM {S} x, customer, part WHERE o_custkey = c_custkey AND l_partkey = p_partkey
 AND l_returnflag = 'N' AND c_mktsegment = 'FURNITURE' AND (o_orderpriority = '1-URGENT' OR o_orderpriority = '5-LOW') AND d_year = 2000 GROUP BY p_partkey ORDER BY p_partkey LIMIT 100""",
     "ds_q27": f"""
-SELECT p_brand, n_name, CAST(grouping(n_name) AS BIGINT) AS g, round(avg(l_quantity), 4) AS agg1, round(avg(l_extendedprice), 4) AS agg2 FROM {S} x, supplier, nation, part WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND l_partkey = p_partkey
+SELECT p_brand, n_name, CAST(grouping(n_name) AS BIGINT) AS g, round(avg(l_quantity), 6) AS agg1, round(avg(l_extendedprice), 6) AS agg2 FROM {S} x, supplier, nation, part WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND l_partkey = p_partkey
 AND n_regionkey IN (0, 1, 3) AND d_year = 1999 AND p_type = 'PROMO' GROUP BY ROLLUP(p_brand, n_name) ORDER BY p_brand NULLS FIRST, n_name NULLS FIRST LIMIT 100""",
     "ds_q29": _three_facts("l_quantity", "avg"),
     "ds_q30": _returners("l_extendedprice", 2000, 2),
@@ -121,7 +121,7 @@ AND ((n_regionkey = 0 AND l_discount BETWEEN 0 AND 0.05) OR (n_regionkey = 2 AND
     "ds_q57": f"""
 WITH v1 AS (SELECT p_type, s_nationkey, d_year, d_moy, sum(l_extendedprice) AS s, avg(sum(l_extendedprice)) OVER (PARTITION BY p_type, s_nationkey, d_year) AS a, CAST(rank() OVER (PARTITION BY p_type, s_nationkey ORDER BY d_year, d_moy) AS BIGINT) AS rn
 FROM {S} x, part, supplier WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND l_returnflag = 'N' AND d_year BETWEEN 1997 AND 1999 GROUP BY p_type, s_nationkey, d_year, d_moy)
-SELECT v1.p_type, v1.s_nationkey, v1.d_moy, round(v1.a, 2) AS a, round(v1.s, 2) AS s, round(lg.s, 2) AS psum, round(ld.s, 2) AS nsum FROM v1, v1 lg, v1 ld WHERE v1.p_type = lg.p_type AND v1.s_nationkey = lg.s_nationkey AND v1.p_type = ld.p_type AND v1.s_nationkey = ld.s_nationkey
+SELECT v1.p_type, v1.s_nationkey, v1.d_moy, round(v1.a, 6) AS a, round(v1.s, 2) AS s, round(lg.s, 2) AS psum, round(ld.s, 2) AS nsum FROM v1, v1 lg, v1 ld WHERE v1.p_type = lg.p_type AND v1.s_nationkey = lg.s_nationkey AND v1.p_type = ld.p_type AND v1.s_nationkey = ld.s_nationkey
 AND v1.rn = lg.rn + 1 AND v1.rn = ld.rn - 1 AND v1.d_year = 1998 AND v1.a > 0 AND abs(v1.s - v1.a) / v1.a > 0.1 ORDER BY v1.p_type, v1.s_nationkey, v1.d_moy LIMIT 100""",
     "ds_q59": f"""
 WITH w AS (SELECT l_suppkey, d_year, d_moy, sum(CASE WHEN d_dom <= 10 THEN l_extendedprice ELSE NULL END) AS early, sum(CASE WHEN d_dom BETWEEN 11 AND 20 THEN l_extendedprice ELSE NULL END) AS middle, sum(CASE WHEN d_dom > 20 THEN l_extendedprice ELSE NULL END) AS late FROM {S} x GROUP BY l_suppkey, d_year, d_moy)
@@ -162,7 +162,7 @@ WHERE o_custkey = c_custkey ORDER BY c_name, place, profit, l_orderkey LIMIT 100
     "ds_q80": "SELECT channel, id, round(sum(sales), 2) AS sales, round(sum(returned), 4) AS returned FROM ("
     + " UNION ALL ".join(
         f"SELECT '{name}' AS channel, {key} AS id, sum(x.l_extendedprice) AS sales, sum(coalesce(r.amount, 0)) AS returned FROM {S} x LEFT OUTER JOIN (SELECT l_orderkey AS ok, l_linenumber AS ln, l_extendedprice * l_discount AS amount FROM lineitem WHERE l_linestatus = 'F') r ON x.l_orderkey = r.ok AND x.l_linenumber = r.ln, part, supplier "
-        f"WHERE x.l_partkey = p_partkey AND x.l_suppkey = s_suppkey AND x.l_returnflag = '{flag}' AND x.o_orderdate BETWEEN date '1999-08-01' AND date '1999-08-31' AND p_retailprice > 950 GROUP BY {key}"
+        f"WHERE x.l_partkey = p_partkey AND x.l_suppkey = s_suppkey AND x.l_returnflag = '{flag}' AND x.o_orderdate BETWEEN date '1999-01-01' AND date '1999-12-31' AND p_retailprice > 900 GROUP BY {key}"
         for name, flag, key in (("shop", "A", "s_name"), ("catalogue", "N", "p_brand"), ("web", "R", "p_type"))
     )
     + ") t GROUP BY ROLLUP(channel, id) ORDER BY channel NULLS FIRST, id NULLS FIRST LIMIT 100",
