@@ -21,10 +21,10 @@ def block_pairs(df: DataFrame, key: str, member: str, size: Column, block: int)
     return rows.withColumn("first", F.least("own", "_other")).withColumn("second", F.greatest("own", "_other")).drop("_n", "_other")
 
 
-def gathered(df: DataFrame, key: str) -> DataFrame:
-    """The rows of each (key, first, second) next to each other in one partition."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(4 * parts, 32), key, "first", "second").sortWithinPartitions(key, "first", "second")
+def gathered(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """The rows of each (key, first, second) next to each other in one of `parts` partitions."""
+    parts = parts or max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32)
+    return df.repartition(parts, key, "first", "second").sortWithinPartitions(key, "first", "second")
 
 
 def each_group(batches: Iterator[pa.RecordBatch], key: str, handle: Callable[[list[pa.Table]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:

@@ -176,6 +176,88 @@ def test_near_duplicates_in_many_blocks(spark):
     assert {r.vec_id: r.n_links for r in rows} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
 
 
+def close_vectors(n, width, near=400, seed=12):
+    """Random vectors and a group around one, some at the threshold's cosine from another."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    x[:near] = x[0] + rng.normal(size=(near, width)) * 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cosine = rng.uniform(0.88, 0.93, (n, 1))
+    return np.concatenate([x, (cosine * x + np.sqrt(1 - cosine**2) * y)[: n // 2]])
+
+
+@pytest.mark.parametrize(("depth", "width"), [(1, 24), (2, 90)])
+def test_tables_of_buckets_find_all_links_once(spark, monkeypatch, depth, width):
+    monkeypatch.setattr(neardup, "SENT_BYTES", 10_000_000)
+    data = close_vectors(800, width)
+    units = data / np.linalg.norm(data, axis=1)[:, None]
+    near = units @ units.T >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    rows = neardup.near_duplicates(df, block=64, depth=depth).collect()
+    assert near.sum() > 50_000
+    got, want = np.array([r.n_links for r in sorted(rows, key=lambda r: r.vec_id)]), near.sum(axis=1) - 1
+    assert (got <= want).all() and (want - got).sum() <= neardup.TABLE_MISS * near.sum()
+    _, root = linked_rows(len(data), lambda i, j: near[i, j])
+    smallest = {r: i for i, r in reversed(list(enumerate(root)))}
+    assert sum(r.component_id != smallest[root[r.vec_id]] for r in rows) <= 1
+
+
+@pytest.mark.parametrize("width", [3, 16, 64, 65, 100, 400])
+def test_agreement_holds_for_every_width(width):
+    rng, n = np.random.default_rng(5), 1500
+    x, h = rng.normal(size=(n, width)), rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    h -= (x * h).sum(axis=1)[:, None] * x
+    y = 0.9 * x + math.sqrt(0.19) * h / np.linalg.norm(h, axis=1)[:, None]
+    same = (neardup._nearest(x, 40) == neardup._nearest(y, 40)).mean()
+    assert same >= neardup._agreement(0.9)
+    for depth in (1, 2):
+        assert (1 - same**depth) ** neardup.tables_for(0.9, depth) <= neardup.TABLE_MISS
+
+
+@pytest.mark.parametrize("width", [9, 16, 64, 90])
+def test_pairs_at_the_threshold_reach_the_counts(width):
+    rng, n = np.random.default_rng(6), 20_000
+    x, h = rng.normal(size=(n, width)), rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    h -= (x * h).sum(axis=1)[:, None] * x
+    y = 0.9001 * x + math.sqrt(1 - 0.9001**2) * h / np.linalg.norm(h, axis=1)[:, None]
+    assert all(neardup._linked(x[a : a + 100], y[a : a + 100], 0.9).diagonal().all() for a in range(0, n, 100))
+
+
+def test_what_is_sent_at_once_is_bounded(spark, monkeypatch):
+    """Vectors used to be sent once for every block within reach, all at once: five times here."""
+    assert neardup.plan_rounds([10, 10, 10, 95, 10, 10], 20) == [(0, 2, 1), (2, 3, 1), (3, 4, 5), (4, 6, 1)]
+    monkeypatch.setattr(neardup, "SENT_BYTES", 0)
+    sent, real = [], neardup.gathered
+
+    def counted(df, key, parts):
+        sent.append(df.count())
+        return real(df, key, parts)
+
+    monkeypatch.setattr(neardup, "gathered", counted)
+    data = close_vectors(400, 64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    rows = neardup.near_duplicates(df, block=120, depth=0).collect()
+    assert sum(sent) == 5 * 600 and len(sent) == 5 and max(sent) <= 2 * 600
+    units = data / np.linalg.norm(data, axis=1)[:, None]
+    assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(((units @ units.T >= 0.9).sum(axis=1) - 1).tolist()))
+
+
+def test_shuffle_files_go_with_the_query(spark):
+    from gneiss.llm.base import swept
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    with pytest.raises(ValueError, match="inside"), swept(spark):
+        assert spark.conf.get(setting) == "true"
+        raise ValueError("inside")
+    assert spark.conf.get(setting) == before
+
+
 def test_no_vectors(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
