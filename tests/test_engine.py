@@ -1,6 +1,7 @@
 """Session, catalogue, dialect, sources, operators, plans and streams."""
 
 import datetime
+import itertools
 import random
 import re
 import threading
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from gneiss import catalog, console, context, session
 from gneiss.functions import dialect, registry
 from gneiss.operators import aggregates, distribution, joins
-from gneiss.plans import compare, explain, relational, sampler, star, suites
+from gneiss.plans import catalogue, compare, explain, relational, sampler, star, suites
 from gneiss.plans.handlers import Handlers
 from gneiss.sources import numbers
 from gneiss.streaming import windows
@@ -180,6 +181,54 @@ def test_null_aware_anti_join(spark):
     assert "BroadcastNestedLoop" not in plan(joins.null_aware_anti(left, right, "k", "r")).split("LeftAnti")[-1]
 
 
+def test_not_in_of_a_statement_needs_no_broadcast(spark, sf_dir):
+    for query in ("join_anti_not_in",):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            text = plan(catalogue.queries()[query](spark, sf_dir))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_not_in_keeps_its_nulls(spark):
+    rows = lambda kind, *values: spark.createDataFrame([(v, (v or 0) % 2) for v in values], f"k {kind}, g int")
+    lefts, rights = (rows("int", 1, 2, 2, None), rows("int", 1, 3), rows("int")), (rows("long", 2, 5), rows("long", 2, None), rows("long", None), rows("long"))
+    statements = [
+        "SELECT k FROM l WHERE k NOT IN (SELECT k FROM r)",
+        'SELECT k FROM l AS x WHERE g NOT LIKE \'7\' AND x."k" NOT  IN ( SELECT k + 0 FROM r) -- the end\n',
+        "SELECT k FROM l WHERE k NOT IN (SELECT k FROM r WHERE r.g = l.g) AND k NOT IN (SELECT 5) ORDER BY k",
+        "SELECT k FROM l WHERE k NOT IN (SELECT k FROM r WHERE k NOT IN (SELECT k FROM r WHERE k > 2) UNION SELECT 1) OR g > 3",
+        "SELECT g, count(*) FROM l WHERE k NOT IN (SELECT k FROM r WHERE k NOT IN (SELECT k FROM r WHERE k > 2) UNION SELECT 1) GROUP BY g HAVING count(*) > 0 OR g = 7",
+    ]
+    for left, right in itertools.product(lefts, rights):
+        left.createOrReplaceTempView("l")
+        right.createOrReplaceTempView("r")
+        for s in statements:
+            want = spark.sql(s.replace('"', "`"))
+            got = catalog.run(spark, s)
+            assert not compare.differences(got.columns, got.collect(), want.columns, want.collect()), (s, left.collect(), right.collect())
+
+
+def test_not_in_elsewhere_is_left_alone():
+    changed = dialect.translate("SELECT a FROM t WHERE b > 1 AND t.a NOT IN (SELECT c FROM u) GROUP BY a HAVING max(b) > 1 OR a = 2")
+    assert "NOT IN" not in changed and changed.count("SELECT c FROM u") == 3
+    for s in (
+        "SELECT a FROM t WHERE a NOT IN (SELECT c FROM u) OR b = 1",
+        "SELECT a FROM t WHERE b = 1 OR b = 2 AND a NOT IN (SELECT c FROM u)",
+        "SELECT a FROM t WHERE NOT a NOT IN (SELECT c FROM u)",
+        "SELECT a FROM t WHERE (a NOT IN (SELECT c FROM u)) IS NULL",
+        "SELECT a FROM t WHERE a NOT IN (SELECT c FROM u) IS NULL",
+        "SELECT a FROM t WHERE b AND CASE WHEN a AND a NOT IN (SELECT c FROM u) THEN 1 ELSE 2 END = 2",
+        "SELECT a FROM t WHERE a + 1 NOT IN (SELECT c FROM u) AND f(a) NOT IN (SELECT c FROM u) AND (a, b) NOT IN (SELECT c, d FROM u)",
+        "SELECT a FROM t WHERE a NOT IN (SELECT c FROM u LIMIT 3) AND a NOT IN (SELECT rand() FROM u) AND a NOT IN (1, 2)",
+        "SELECT a NOT IN (SELECT c FROM u) FROM t JOIN v ON x = y AND a NOT IN (SELECT c FROM u)",
+        "SELECT 'WHERE a NOT IN (SELECT c FROM u)' -- WHERE a NOT IN (SELECT c FROM u)\n",
+    ):
+        assert dialect.translate(s) == s
+
+
 def test_salted_and_small_broadcasts(spark, sides):
     build, probe = sides
     assert joins.salted(probe, build, "id", 3).count() == 2400 and joins.salted(probe, build, "id", 3, "left_anti").count() == 0
