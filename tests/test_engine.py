@@ -182,7 +182,7 @@ def test_null_aware_anti_join(spark):
 
 
 def test_not_in_of_a_statement_needs_no_broadcast(spark, sf_dir):
-    for query in ("join_anti_not_in",):
+    for query in ("join_anti_not_in", "join_anti_not_in_null"):
         before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         try:
