@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -75,7 +76,13 @@ def run(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> D
     for name in tables if "/" in sql else ():
         for f in spark.table(name).schema:
             (whole if isinstance(f.dataType, IntegralType) else other).add(f.name.lower())
-    return spark.sql(dialect.translate(sql, whole - other))
+    text, plain = dialect.translate(sql, whole - other), dialect.translate(sql, whole - other, not_in=False)
+    try:
+        return spark.sql(text)
+    except AnalysisException:
+        if text == plain:
+            raise
+    return spark.sql(plain)  # a key of a query two levels out, or what is an error anyhow
 
 
 def register_parquet(spark: SparkSession, name: str, path: str, partition_types: dict[str, str] | None = None) -> DataFrame:

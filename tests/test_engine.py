@@ -201,6 +201,7 @@ def test_not_in_keeps_its_nulls(spark):
         "SELECT k FROM l WHERE k NOT IN (SELECT k FROM r WHERE r.g = l.g) AND k NOT IN (SELECT 5) ORDER BY k",
         "SELECT k FROM l WHERE k NOT IN (SELECT k FROM r WHERE k NOT IN (SELECT k FROM r WHERE k > 2) UNION SELECT 1) OR g > 3",
         "SELECT g, count(*) FROM l WHERE k NOT IN (SELECT k FROM r WHERE k NOT IN (SELECT k FROM r WHERE k > 2) UNION SELECT 1) GROUP BY g HAVING count(*) > 0 OR g = 7",
+        "SELECT k FROM l AS x WHERE EXISTS (SELECT 1 FROM r WHERE x.k NOT IN (SELECT k + 1 FROM r))",
     ]
     for left, right in itertools.product(lefts, rights):
         left.createOrReplaceTempView("l")
